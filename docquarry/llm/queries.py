@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docquarry.llm import quality
+from docquarry.llm import decontam, quality
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
+    "op4_decontamination": decontam.query,
 }
 
 SQL: dict[str, str] = {}
