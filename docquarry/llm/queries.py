@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docquarry.llm import decontam, quality
+from docquarry.llm import decontam, ngram_join, quality
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
+    "op2_ngram_join": ngram_join.query,
     "op4_decontamination": decontam.query,
 }
 
