@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from docquarry.llm import decontam, ngram_join, quality
+from docquarry.llm import decontam, mixing, ngram_join, pii, quality
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
     "op2_ngram_join": ngram_join.query,
     "op4_decontamination": decontam.query,
+    "op5_mixing": mixing.query,
+    "op6_pii": pii.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_mixing": mixing.SQL,
+}
