@@ -180,12 +180,18 @@ def _quiet_remove(spark: SparkSession, path: str) -> None:
             pass
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A path for a new table in the shared folder, removed when Python exits."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    atexit.register(_quiet_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cuts lineage: df as a Parquet table in the shared folder, removed when Python exits."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.parquet(path)
-    atexit.register(_quiet_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
