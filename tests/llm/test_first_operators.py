@@ -1,0 +1,154 @@
+"""Quality classifier, n-gram join, decontamination, mixing, PII and the pipeline on small tables."""
+
+import random
+
+import corpus_pipeline
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docquarry.llm import decontam, mixing, ngram_join, pii, quality
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, a string"
+WORDS = "river house stone cloud table green window paper light music garden bread water silver forest mountain letter summer winter morning evening bridge street market".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + (rng.choice("bcdfgk") if rng.random() < 0.5 else "") for _ in range(n)) + "."
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame([(k, t, "en", f"s{k % 3}" if k % 7 else None, len(t or ""), "l", "a") for k, t in enumerate(texts)], SCHEMA)
+
+
+def test_quality_tells_held_out_documents_apart(spark):
+    rng = random.Random(1)
+    good = [prose(rng, rng.randrange(20, 200)) for _ in range(150)]
+    bad = [" ".join(w.upper() + "!!" for w in prose(rng, 60).split()) for _ in range(150)]
+    texts = [x for pair in zip(good, bad, strict=True) for x in pair] + [None, "", "word " * 30_000]
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(200)] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(docs_of(spark, texts), labels).collect()}
+    right = [got[k].keep == (k % 2 == 0) for k in range(200, 300)]
+    assert np.mean(right) > 0.95 and not got[300].keep and not got[301].keep and got[302].passages > 400
+    assert got[0].toxicity is None  # one class only
+    nothing = quality.keep_good(docs_of(spark, texts), labels.limit(0))
+    assert nothing.count() == 301 and nothing.columns == docs_of(spark, []).columns
+    assert quality.classify(docs_of(spark, texts).limit(0), labels).count() == 0
+
+
+def jaccard(a, b, n=ngram_join.N):
+    def grams(t):
+        w = t.lower().replace(".", "").split()
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
+
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b) if a | b else 0
+
+
+def near_copies(rng):
+    texts = []
+    for _ in range(30):
+        base = prose(rng, rng.randrange(1, 120)).split()
+        for _ in range(rng.randrange(1, 5)):
+            texts.append(" ".join(rng.choice(WORDS) if rng.random() < 0.05 else w for w in base))
+    shared = prose(rng, 60)
+    return texts + [shared + " " + prose(rng, 200) for _ in range(10)] + ["one two", "one two", "", prose(rng, 3000)]
+
+
+@pytest.mark.parametrize("share", [(0.01, 0.05), (0.9, 0.95)])
+def test_join_equals_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(ngram_join, "CLASS_SHARE", share)
+    texts = near_copies(random.Random(2))
+    want = {(i, j): s for i in range(len(texts)) for j in range(i + 1, len(texts)) if (s := jaccard(texts[i], texts[j])) >= ngram_join.THRESHOLD - 1e-9}
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.join(docs_of(spark, [*texts, None])).collect()}
+    lead = {}
+    for (i, j), s in sorted(want.items()):
+        if s == 1:
+            lead.setdefault(j, i)
+    want = {(i, j): s for (i, j), s in want.items() if (s == 1 and lead[j] == i and i not in lead) or (i not in lead and j not in lead)}
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(s) for p, s in want.items())
+
+
+def test_pruning_bound_holds(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 62, rng.integers(1, 400)).astype(np.uint64)
+        b = np.concatenate([a[: rng.integers(0, len(a) + 1)], rng.integers(0, 1 << 62, rng.integers(1, 300)).astype(np.uint64)])
+        at = np.array([0, len(a), len(a) + len(b)])
+        x, y = ngram_join._bitmaps(np.concatenate([a, b]), at, [0, 1])
+        u, v = np.frombuffer(x, np.uint8, offset=4), np.frombuffer(y, np.uint8, offset=4)
+        size = min(len(u), len(v))
+        apart = int(np.bitwise_count(ngram_join._folded(u, size) ^ ngram_join._folded(v, size)).sum())
+        assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(4)
+    texts = near_copies(rng)
+    df = docs_of(spark, [*texts, None]).unionByName(docs_of(spark, [None]).withColumn("doc_id", F.lit(None).cast("long")))
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    ids = {r.doc_id for r in kept.collect()}
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= ngram_join.THRESHOLD - 1e-9:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert ids == {k for k in range(len(texts)) if root[k] == k} | {len(texts), None}
+    assert ngram_join.keep_one(df.limit(0)).count() == 0
+
+
+def test_benchmark_passages_are_found(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    said = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [said(30) + "." for _ in range(5)]
+    texts = [said(rng.randrange(30, 300)) for _ in range(60)]
+    for k in range(5):
+        texts[k] = said(100) + " " + items[k] + " " + said(80)
+    texts[10] = said(4000) + " " + items[0] + " " + said(4000)
+    words = items[1].split()
+    words[7] = "other"
+    texts[11] = said(40) + " " + " ".join(words) + " " + said(40)
+    benchmark = spark.createDataFrame([*enumerate(items), (8, None), (9, "too short")], "item_id long, text string")
+    df = docs_of(spark, [*texts, None, ""])
+    kept = {r.doc_id for r in decontam.clean(df, benchmark).collect()}
+    assert {r.doc_id for r in df.collect()} - kept == {0, 1, 2, 3, 4, 10, 11}
+    assert decontam.clean(df, benchmark).columns == df.columns
+    assert decontam.clean(df, benchmark.limit(0)).count() == df.count() and decontam.clean(df.limit(0), benchmark).count() == 0
+
+
+def test_mixing_equals_its_sql(spark):
+    rng = random.Random(8)
+    df = docs_of(spark, [prose(rng, rng.randrange(1, 900)) for _ in range(80)] + [None, "", " ", prose(rng, 9000)])
+    got = sorted(tuple(r) for r in mixing.mix(df).collect())
+    con = duckdb.connect()
+    documents = df.toArrow()  # noqa: F841
+    assert got == sorted(con.sql(mixing.SQL).fetchall()) and got
+    assert mixing.mix(df.limit(0)).count() == 0
+    weights = spark.createDataFrame([("s0", 3), ("s1", 1), ("s2", 0)], "source string, weight long")
+    slots = [r.source for r in mixing.mix(df, weights, block=64).select("slot", "source").distinct().collect()]
+    assert set(slots) == {"s0", "s1"} and slots.count("s0") / len(slots) == pytest.approx(0.75, abs=0.05)
+
+
+def test_personal_data_goes_and_other_text_stays(spark):
+    kept = ["On 2024-01-31 version 1.2.3 came out, page 12 of 300.", "Plain words and nothing else.", None, ""]
+    gone = {"write to ann.lee@example.com today": "ann.lee@example.com", "host at 192.168.10.25 is up": "192.168.10.25"}
+    df = docs_of(spark, [*kept, *gone, "x " * 50_000 + "bob@mail.example.org"])
+    rows = {r.doc_id: r for r in pii.redact(df).collect()}
+    assert [rows[k].text for k in range(len(kept))] == kept
+    for k, secret in enumerate(gone.values(), len(kept)):
+        assert secret not in rows[k].text and rows[k].n_chars == len(rows[k].text)
+    assert "bob@" not in rows[len(kept) + len(gone)].text
+    assert pii.redact(df).columns == df.columns and pii.redact(df.limit(0)).count() == 0
+
+
+def test_pipeline_over_given_documents(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, d)
+        assert after.schema.names == docs.schema.names and 0 < after.count() <= docs.count(), name
+    assert corpus_pipeline.run(spark, d).columns == ["slot", "source", "epoch", "block_no", "doc_id", "from_token", "to_token"]
