@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -35,48 +36,49 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int = 5, min_percent: f
 
 
 def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id", embedding: str = "embedding") -> DataFrame:
-    """(query_key, key, similarity_score, rank): the k nearest vectors of each row of queries.
+    """(query_key, key, similarity_score, rank): the k nearest vectors of each row of queries, which are as many as they like.
 
-    The vectors are scanned once, in Arrow batches multiplied with blocks of queries; each task keeps k rows a
-    query and these partial results are merged.  queries come to the driver, in blocks of BLOCK rows.
+    Both sides are packed into blocks of BLOCK unit vectors; each pair of blocks is one matrix product that
+    leaves k rows a query, and these partial results are merged.  No vector comes to the driver.
     """
-    spark = vectors.sparkSession
-    rows = queries.select(query_key, "embedding").where("embedding is not null").toArrow()
-    out = None
-    for at in range(0, max(rows.num_rows, 1), QUERY_BLOCK):
-        part = rows.slice(at, QUERY_BLOCK)
-        ids = np.array(part.column(query_key).to_pylist(), np.int64)
-        m = np.array(part.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), S.EPS) if len(ids) else 1
-        shared = spark.sparkContext.broadcast((ids, m))
-        found = vectors.select(F.col(key).cast("long").alias(key), embedding).where(F.size(embedding) == (m.shape[1] if len(ids) else -1)).mapInArrow(_nearest(shared, k, key, query_key), f"{query_key} long, {key} long, similarity_score double")
-        out = found if out is None else out.unionByName(found)
-    best = F.expr(f"slice(sort_array(collect_list(struct(similarity_score, {key})), false), 1, {int(k)})")
-    merged = out.groupBy(query_key).agg(best.alias("b"))
-    return merged.select(query_key, F.posexplode("b").alias("rank", "x")).select(query_key, f"x.{key}", "x.similarity_score", (F.col("rank") + 1).alias("rank"))
+    left = _blocks(queries.select(F.col(query_key).cast("long").alias("id"), F.col("embedding")), "q")
+    right = _blocks(vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("embedding")), "v")
+    found = right.crossJoin(left).where("q_dim = v_dim").select("q_ids", "q_data", "v_ids", "v_data", "q_dim").mapInArrow(_nearest(k), "q long, v long, similarity_score double")
+    best = F.expr(f"slice(sort_array(collect_list(struct(similarity_score, v)), false), 1, {int(k)})")
+    merged = found.groupBy("q").agg(best.alias("b")).select("q", F.posexplode("b").alias("rank", "x"))
+    return merged.select(F.col("q").alias(query_key), F.col("x.v").alias(key), "x.similarity_score", (F.col("rank") + 1).alias("rank"))
 
 
-QUERY_BLOCK = 4096
+BLOCK = 4096
 
 
-def _nearest(shared, k: int, key: str, query_key: str):
-    import pyarrow as pa
+def _blocks(df: DataFrame, name: str) -> DataFrame:
+    """Rows of packed ids and unit vectors; vectors of different lengths never share a row, null ones are left out."""
 
     def run(batches):
-        ids, q = shared.value
-        keys = np.zeros((len(ids), 0), np.int64)
-        scores = np.zeros((len(ids), 0))
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                piece = batch.slice(at, 2048)
-                v = np.asarray(piece.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(piece.num_rows, -1)
-                s = np.clip(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), S.EPS)).T, -1, 1)
-                keys = np.hstack([keys, np.broadcast_to(piece.column(0).to_numpy(), s.shape)])
-                scores = np.hstack([scores, s])
-                order = np.lexsort((-keys, -scores), axis=1)[:, :k]
-                keys, scores = np.take_along_axis(keys, order, 1), np.take_along_axis(scores, order, 1)
-        n = keys.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(keys.ravel()), pa.array(scores.ravel())], names=[query_key, key, "similarity_score"])
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                sizes = np.asarray(part.column(2))
+                for dim in np.unique(sizes).tolist():
+                    own = part.filter(pa.array(sizes == dim))
+                    m = np.asarray(own.column(1).flatten(), np.float64).reshape(own.num_rows, dim)
+                    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), S.EPS)
+                    yield pa.RecordBatch.from_arrays([pa.array([np.asarray(own.column(0)).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=[f"{name}_ids", f"{name}_data", f"{name}_dim"])
+
+    sized = df.where("id is not null and embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("size"))
+    return sized.mapInArrow(run, f"{name}_ids binary, {name}_data binary, {name}_dim int")
+
+
+def _nearest(k: int):
+    def run(batches):
+        for batch in batches:
+            for q_ids, q_data, v_ids, v_data, dim in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, keys = np.frombuffer(q_ids, np.int64), np.frombuffer(v_ids, np.int64)
+                s = np.clip(np.frombuffer(q_data).reshape(len(ids), dim) @ np.frombuffer(v_data).reshape(len(keys), dim).T, -1, 1)
+                order = np.lexsort((np.broadcast_to(-keys, s.shape), -s), axis=1)[:, :k]
+                n = order.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["q", "v", "similarity_score"])
 
     return run
 
