@@ -156,7 +156,7 @@ def _sentence(**config) -> Vectorizer:
 _ALIASES = {"st": "sentence_transformer", "tfidf": "tf_idf"}
 _FACTORIES: dict[str, Callable[..., Vectorizer]] = {
     "hashing": HashingVectorizer, "tf_idf": lambda **_: TfIdfVectorizer(), "sentence_transformer": _sentence, "openai": _http("openai", "https://api.openai.com/v1"),
-    "lollms": _http("openai", "http://localhost:9600/v1"), "ollama": _http("ollama", "http://localhost:11434"), "cohere": _http("cohere", "https://api.cohere.ai"),
+    "openai_compatible": _http("openai", "http://localhost:8000/v1"), "ollama": _http("ollama", "http://localhost:11434"), "cohere": _http("cohere", "https://api.cohere.ai"),
 }
 _MADE: dict[str, Vectorizer] = {}
 
