@@ -13,6 +13,7 @@ characters, compared without regard to ASCII and Latin-1 letter case.
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -195,6 +196,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and broadcasts that no frame uses any more; else they stay until the JVM collects garbage."""
+    gc.collect()
+    jvm = spark.sparkContext._jvm
+    if jvm is not None:
+        jvm.System.gc()
+
+
 def partition_id() -> int:
     return TaskContext.get().partitionId()
 

@@ -16,8 +16,10 @@ of Jaccard similarity THRESHOLD or more, exactly (up to 64-bit hash collisions):
    by all their single tokens as well; a similar set of a smaller one is never larger.
 4. Signatures are shuffled as packed arrays; sets that share one and pass the length
    filter become candidates.
-5. Candidates are verified on the whole sets, gathered per neighbourhood, so that a set
-   travels once to each group of candidates and not once for each pair.
+5. Candidates whose parity bitmaps of BITS_A_TOKEN bits a token or more differ in more bits than the threshold
+   allows tokens to differ are dropped; that bound is exact.
+6. The rest are verified on the whole sets.  For both steps bitmaps or sets are gathered per
+   neighbourhood, so that each travels once to each group of candidates and not once for each pair.
 
 There is no cap on partners: a token that thousands of documents share is late in the order, and
 counts only in combination.
@@ -38,11 +40,12 @@ from docquarry.llm import blocks
 
 N = 3
 THRESHOLD = 0.55
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 #: A token is of class k + 1 if its count exceeds that share of the documents.
 CLASS_SHARE = (0.01, 0.05)
 #: With combinations of at most 3 tokens, sets of 6 and more always reach the coverage they need.
 SMALL = 10
+BITS_A_TOKEN = 4
 #: So many candidates' ids, 8 bytes each, are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -71,18 +74,18 @@ def cells(h: np.ndarray) -> np.ndarray:
 
 def count_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """Tokens of all documents in each cell of the sketch, and the number of documents."""
-    parts, step = 8, (1 << SKETCH_BITS) // 8
+    parts, step = 32, (1 << SKETCH_BITS) // 32
 
     def run(batches):
-        total, rows = np.zeros(1 << SKETCH_BITS, np.int64), 0
+        total, rows = np.zeros(1 << SKETCH_BITS, np.int32), 0
         for batch in batches:
             rows += batch.num_rows
             for _, h, _, _ in token_sets(batch.column("text"), n):
-                total += np.bincount(cells(h), minlength=1 << SKETCH_BITS)
+                np.add.at(total, cells(h), 1)
         for b in range(parts):
             yield b, np.append(total[b * step : (b + 1) * step], rows)
 
-    got = [np.zeros(step + 1, np.int64) if g is None else g for g in blocks.sum_arrays(docs, run, "i8", parts)]
+    got = [np.zeros(step + 1, np.int32) if g is None else g for g in blocks.sum_arrays(docs, run, "i4", parts)]
     return np.concatenate([g[:-1] for g in got]), int(got[0][-1])
 
 
@@ -239,8 +242,12 @@ def candidates(index: DataFrame, t: float, partitions: int) -> DataFrame:
     return index.repartition(partitions, "shard").mapInArrow(run, "a long, b long").distinct()
 
 
-def verify(docs: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs of set ids that reach the threshold."""
+def gathered(docs: DataFrame, pairs: DataFrame, n: int, payload, check, schema: str) -> DataFrame:
+    """check over the pairs of set ids, with the payloads of their sets gathered per neighbourhood.
+
+    payload(tokens, offsets, documents) gives the payloads of those documents of a slice; check(payloads
+    by id, ids a, ids b) gives columns of schema.
+    """
     spark = docs.sparkSession
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     home = both.groupBy("a").agg(F.least("a", F.min("b")).alias("home"))
@@ -264,17 +271,64 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
                         rows.append(d)
                         if few is not None:
                             sent.add(int(key[d]))
-                yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array([np.sort(h[at[d] : at[d + 1]].astype(np.uint32)).tobytes() for d in rows], pa.binary())], names=["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(payload(h, at, rows), pa.binary())], names=["id", "data"])
+
+    sets = members.join(docs.mapInArrow(run, "id long, data binary"), "id")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        data: dict[int, object] = {}
+        for i, x in zip(right.column("id").to_pylist(), right.column("data"), strict=True):
+            data.setdefault(i, x.as_buffer())
+        return check(data, left.column("a").to_numpy(), left.column("b").to_numpy())
+
+    return placed.groupBy("home").cogroup(sets.groupBy("place")).applyInArrow(meet, schema)
+
+
+def _bitmaps(h: np.ndarray, at: np.ndarray, rows: list[int]) -> list[bytes]:
+    """Size and parity bitmap of each set: bit i tells whether an odd number of its tokens falls to i."""
+    out = []
+    for d in rows:
+        own = h[at[d] : at[d + 1]]
+        bits = max(64, 1 << int(BITS_A_TOKEN * len(own) - 1).bit_length())
+        odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.uint32(len(own)).tobytes() + np.packbits(odd.astype(bool)).tobytes())
+    return out
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A parity bitmap of fewer bytes; a token's bit is given by its low bits at any size."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def prune(docs: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
+    """The pairs whose bitmaps allow the threshold: sets differ in at least as many tokens as their bitmaps in bits."""
+
+    def check(data, a, b):
+        sets = {i: (int(np.frombuffer(x, np.uint32, 1)[0]), np.frombuffer(x, np.uint8, offset=4)) for i, x in data.items()}
+        keep = np.zeros(len(a), bool)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            (m, u), (n, v) = sets[x], sets[y]
+            size = min(len(u), len(v))
+            apart = int(np.bitwise_count((_folded(u, size) ^ _folded(v, size)).view(np.uint64)).sum())
+            same = (m + n - apart) / 2
+            keep[k] = same >= (t - 1e-9) * (m + n - same)
+        return pa.table({"a": a[keep], "b": b[keep]})
+
+    return gathered(docs, pairs, n, _bitmaps, check, "a long, b long")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs of set ids that reach the threshold."""
 
-    arrays = docs.mapInArrow(run, "id long, tokens binary")
-    placed_sets = members.join(arrays, "id")
+    def payload(h, at, rows):
+        return [np.sort(h[at[d] : at[d + 1]].astype(np.uint32)).tobytes() for d in rows]
 
-    def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        tokens: dict[int, np.ndarray] = {}
-        for i, x in zip(right.column("id").to_pylist(), right.column("tokens"), strict=True):
-            tokens.setdefault(i, np.frombuffer(x.as_buffer(), np.uint32))
+    def check(data, left, right):
+        tokens = {i: np.frombuffer(x, np.uint32) for i, x in data.items()}
         a, b, j = [], [], []
-        for x, y in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
+        for x, y in zip(left.tolist(), right.tolist(), strict=True):
             u, v = tokens[x], tokens[y]
             if len(u) > len(v):
                 u, v = v, u
@@ -286,7 +340,7 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
                 j.append(score)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
 
-    return placed.groupBy("home").cogroup(placed_sets.groupBy("place")).applyInArrow(check, "a long, b long, jaccard double")
+    return gathered(docs, pairs, n, payload, check, "a long, b long, jaccard double")
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -313,8 +367,13 @@ def join(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     spark = documents.sparkSession
     docs = blocks.narrow(documents, "doc_id", "text").where("doc_id is not null")
     partitions = _partitions(spark)
+    # each step's shuffles are done with when its table is written
     pairs = blocks.written(candidates(index_sets(docs.select("text"), n, t, partitions * 8), t, partitions), "pairs")
-    found = blocks.written(verify(docs.select("text"), pairs, n, t), "found")
+    blocks.release(spark)
+    likely = blocks.written(prune(docs.select("text"), pairs, n, t), "likely")
+    blocks.release(spark)
+    found = blocks.written(verify(docs.select("text"), likely, n, t), "found")
+    blocks.release(spark)
     sets = blocks.written(set_ids(docs, n), "sets")
     lead = sets.groupBy("id").agg(F.min("doc_id").alias("lead"))
     near = (
