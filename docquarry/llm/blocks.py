@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -198,10 +199,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files and broadcasts that no frame uses any more; else they stay until the JVM collects garbage."""
-    gc.collect()
     jvm = spark.sparkContext._jvm
-    if jvm is not None:
+    for _ in range(2 if jvm is not None else 0):  # what the first round lets go of may hold more
+        gc.collect()
         jvm.System.gc()
+        time.sleep(0.5)  # Spark deletes in the background
 
 
 def partition_id() -> int:
