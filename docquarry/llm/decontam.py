@@ -7,9 +7,10 @@
    of fixed size whatever the corpus, is turned into V and the singular values on the driver
    (Nystrom form of the factorisation).
 3. A third pass slides windows of WINDOW words over each document, projects them with V and
-   compares them by cosine with all windows of the benchmark items.  A window and an item
-   that have less than LEAST_SHARED of the window's words in common are passed over: the
-   sequence check below would refuse them.
+   compares them by cosine with all windows of the benchmark items; every place of an item
+   that has MIN_COSINE is a candidate.  For an item of fewer words than WINDOW, windows are as short
+   as the item.  A stretch of text is compared only with the items of which it has LCS_MAYBE of
+   the words, in any order: no region in it could pass the sequence check below with another.
 4. Candidates are verified on the words: longest common subsequence of the item and the
    surroundings of the window, as a share of the item.  LCS_SURE and more is a leak.  From
    LCS_MAYBE it is one (a paraphrase) if the item's answer is there too: the words of
@@ -38,10 +39,8 @@ from docquarry.llm import blocks
 TERM_BITS = 15
 RANK = 32
 PASSAGE_WORDS = 32
-WINDOW, STRIDE, ITEM_STRIDE = 16, 6, 1
+WINDOW, ITEM_STRIDE = 16, 1
 MIN_COSINE = 0.6
-#: Share of a window's words that a matching item must have.
-LEAST_SHARED = 0.65
 LCS_SURE, LCS_MAYBE, ANSWER = 0.75, 0.6, 0.6
 MIN_ITEM = 8
 MAX_ITEMS, MAX_ITEMS_BYTES = 2000, 1 << 20
@@ -151,6 +150,7 @@ class Items:
     start_of: np.ndarray
     vocabulary: np.ndarray  # sorted
     has: np.ndarray  # occurrences: vocabulary + 1 (no word) x items
+    need: np.ndarray  # words that a region must share with the item
 
 
 def windows(count: np.ndarray, offsets: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,14 +190,14 @@ def prepare(items: list[tuple[int, str]], idf: np.ndarray, v: np.ndarray) -> Ite
         answers.append(rare if len(rare) else last)
     if not ids:
         none = np.zeros(0, np.int64)
-        return Items([], [], [], np.zeros((0, v.shape[1]), np.float32), none, none, np.zeros(0, np.uint64), np.zeros((1, 0), np.int16))
+        return Items([], [], [], np.zeros((0, v.shape[1]), np.float32), none, none, np.zeros(0, np.uint64), np.zeros((1, 0), np.int16), none)
     count = np.array([len(h) for h in words])
     offsets = np.concatenate([[0], np.cumsum(count)])
     doc, first, size = windows(count, offsets[:-1], WINDOW, ITEM_STRIDE)
     vocabulary = np.unique(np.concatenate(words))
-    has = np.zeros((len(vocabulary) + 1, len(ids)), np.int16)
+    has = np.zeros((len(vocabulary) + 1, len(ids)), np.uint8 if count.max() < 1 << 8 else np.int64)
     np.add.at(has, (np.searchsorted(vocabulary, np.concatenate(words)), np.repeat(np.arange(len(ids)), count)), 1)
-    return Items(ids, words, answers, project(np.concatenate(words), first, size, idf, v), np.searchsorted(doc, np.arange(len(ids) + 1)), first - offsets[doc], vocabulary, has)
+    return Items(ids, words, answers, project(np.concatenate(words), first, size, idf, v), np.searchsorted(doc, np.arange(len(ids) + 1)), first - offsets[doc], vocabulary, has, np.ceil(LCS_MAYBE * count - 1e-9).astype(np.int64))
 
 
 def lcs(item: np.ndarray, region: np.ndarray) -> int:
@@ -214,46 +214,80 @@ def lcs(item: np.ndarray, region: np.ndarray) -> int:
     return len(item) - s.bit_count()
 
 
+def slack_of(count: np.ndarray) -> np.ndarray:
+    """Words on either side of an item of that many words which its region has besides."""
+    return 4 + count // 8
+
+
+def possible(word: np.ndarray, first: np.ndarray, size: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, item) of all pairs that have LCS_MAYBE of the item's words in common, in whatever order."""
+    none, known = np.zeros(0, np.int64), len(items.vocabulary)
+    own = np.repeat(np.arange(len(first)), size)
+    at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+    inside = word[at] < known
+    key = np.sort(own[inside] * known + word[at[inside]])
+    edge = np.flatnonzero(np.diff(key, prepend=-1))
+    if not len(edge):
+        return none, none
+    own, term, count = key[edge] // known, key[edge] % known, np.minimum(np.diff(np.append(edge, len(key))), np.iinfo(items.has.dtype).max).astype(items.has.dtype)
+    start = np.flatnonzero(np.diff(own, prepend=-1))
+    end, segments, out = np.append(start[1:], len(own)), own[start], []
+    k = 0
+    while k < len(start):
+        last = max(k + 1, int(np.searchsorted(end, start[k] + 8192, side="right")))
+        x = slice(start[k], end[last - 1])
+        common = np.add.reduceat(np.minimum(items.has[term[x]], count[x, None]), start[k:last] - start[k], dtype=items.has.dtype)
+        s, y = np.nonzero(common >= items.need)
+        out.append((segments[k + s], y))
+        k = last
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def search(w: blocks.Words, items: Items, idf: np.ndarray, v: np.ndarray) -> list[tuple[int, int, float, float, bool]]:
     """(document, item, cosine, share, answer) of verified leaks, the best region of each pair."""
     if not len(items.ids) or not len(w.hashes):
         return []
     word = np.searchsorted(items.vocabulary, w.hashes)
     word[items.vocabulary[np.minimum(word, len(items.vocabulary) - 1)] != w.hashes] = len(items.vocabulary)
-    run = np.concatenate([[0], np.cumsum(word < len(items.vocabulary))])
-    doc, first, size = windows(np.diff(w.offsets), w.offsets[:-1], WINDOW, STRIDE)
-    least = np.ceil(LEAST_SHARED * size).astype(np.int64)
-    pick = np.flatnonzero(run[first + size] - run[first] >= least)
+    length = np.array([len(h) for h in items.words])
+    slack = slack_of(length)
+    # every region of every item lies within a segment
+    reach = int((length + 2 * slack).max())
+    doc, first, size = windows(np.diff(w.offsets), w.offsets[:-1], 2 * reach, reach)
+    segment, item = possible(word, first, size, items)
     best: dict[tuple[int, int], tuple[float, float, bool]] = {}
     seen: set[tuple[int, int, int]] = set()
-    padded = np.append(word, len(items.vocabulary))
-    for a in range(0, len(pick), 1024):
-        own = pick[a : a + 1024]
-        shared = np.zeros((len(own), len(items.ids)), np.uint8)
-        own_words = padded[np.where(np.arange(WINDOW) < size[own, None], first[own, None] + np.arange(WINDOW), len(word))]
-        for k in range(WINDOW):
-            before = (own_words[:, :k] == own_words[:, k : k + 1]).sum(1)
-            shared += items.has[own_words[:, k]] > before[:, None]
-        enough = shared >= least[own, None]
-        own, enough = own[enough.any(1)], enough[enough.any(1)]
-        cosine = project(w.hashes, first[own], size[own], idf, v) @ items.vectors.T
-        for x, y in zip(*np.nonzero(enough), strict=True):
-            lo, hi = items.range_of[y], items.range_of[y + 1]
-            at = int(np.argmax(cosine[x, lo:hi]))
-            if cosine[x, lo + at] < MIN_COSINE:
-                continue
-            d, begin, item = int(doc[own[x]]), int(first[own[x]]) - int(items.start_of[lo + at]), items.words[y]
-            if (d, int(y), begin) in seen:
+    for s, y in zip(segment.tolist(), item.tolist(), strict=True):
+        d, width, a, z = int(doc[s]), min(int(length[y]), WINDOW), int(first[s]), int(first[s] + size[s])
+        lead, lo, hi = int(length[y]) - width, items.range_of[y], items.range_of[y + 1]
+        # all places of the item of which a window of it lies in the segment, and their regions
+        begins = np.arange(a - lead, max(a, z - width) + 1)
+        left = np.maximum(w.offsets[d], begins - slack[y])
+        right = np.minimum(w.offsets[d + 1], begins + length[y] + slack[y])
+        base = int(left[0])
+        run = np.concatenate([[0], np.cumsum(items.has[word[base : int(right[-1])], y] > 0)])
+        enough = run[right - base] - run[left - base] >= items.need[y]
+        if not enough.any():
+            continue
+        # windows from which one of these places is reached
+        total = np.concatenate([[0], np.cumsum(enough)])
+        at = a + np.flatnonzero(total[lead + 1 :] - total[: len(total) - lead - 1])
+        cosine = project(w.hashes, at, np.minimum(width, z - at), idf, v) @ items.vectors[lo:hi].T
+        i, j = np.nonzero(cosine >= MIN_COSINE)
+        top = np.full(len(begins), -1.0)
+        np.maximum.at(top, at[i] - items.start_of[lo + j] - begins[0], cosine[i, j])
+        for k in np.flatnonzero(enough & (top >= 0)).tolist():
+            known = best.get((d, y), (0, 0.0))[1]
+            if known == 1 or (d, y, int(begins[k])) in seen:
                 continue
-            seen.add((d, int(y), begin))
-            slack = 4 + len(item) // 8
-            region = w.hashes[max(int(w.offsets[d]), begin - slack) : min(int(w.offsets[d + 1]), begin + len(item) + slack)]
-            share = lcs(item, region) / len(item)
-            if share < LCS_MAYBE:
+            seen.add((d, y, int(begins[k])))
+            region = w.hashes[left[k] : right[k]]
+            share = lcs(items.words[y], region) / int(length[y])
+            if share < LCS_MAYBE or share <= known:
                 continue
             answer = bool(np.isin(items.answers[y], region).mean() >= ANSWER)
-            if (share >= LCS_SURE or (share >= LCS_MAYBE and answer)) and share > best.get((d, int(y)), (0, 0.0))[1]:
-                best[d, int(y)] = (float(cosine[x, lo + at]), share, answer)
+            if share >= LCS_SURE or answer:
+                best[d, y] = (float(top[k]), share, answer)
     return [(d, k, *rest) for (d, k), rest in sorted(best.items())]
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.llm import decontam, mixing, ngram_join, pii, quality
+from docquarry.llm import blocks, decontam, mixing, ngram_join, pii, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, a string"
 WORDS = "river house stone cloud table green window paper light music garden bread water silver forest mountain letter summer winter morning evening bridge street market".split()
@@ -152,3 +152,43 @@ def test_pipeline_over_given_documents(spark):
         after = stage(spark, docs, d)
         assert after.schema.names == docs.schema.names and 0 < after.count() <= docs.count(), name
     assert corpus_pipeline.run(spark, d).columns == ["slot", "source", "epoch", "block_no", "doc_id", "from_token", "to_token"]
+
+
+def test_leaks_are_those_of_brute_force(spark):
+    rng = random.Random(17)
+    lengths = [8, 9, 10, 12, 15, 16, 20, 30, 45] * 6
+    items = [prose(rng, n) for n in lengths]
+    texts = []
+    for k, item in enumerate(items):
+        words, kind = item.split(), k % 4
+        if kind == 1:  # words replaced, never in the last fifth
+            for at in rng.sample(range(len(words) * 4 // 5), max(1, len(words) // 5)):
+                words[at] = f"other{at}x"
+        if kind == 2:  # words inserted
+            for _ in range(max(1, len(words) // 8)):
+                words.insert(rng.randrange(len(words)), f"more{rng.randrange(99)}y")
+        if kind == 3:  # both
+            words[1] = "other1x"
+            words.insert(len(words) // 2, "more1y")
+        texts.append(prose(rng, 40 + k) + " " + " ".join(words) + " " + prose(rng, 60))
+    texts += [prose(rng, 150) for _ in range(20)]
+    df = docs_of(spark, texts)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    model = decontam.models(df, benchmark)[0]
+    want = set()
+    for d, text in enumerate(texts):
+        h = blocks.hash_words(text)
+        for k, item in zip(model.items.ids, model.items.words, strict=True):
+            slack, y = 4 + len(item) // 8, model.items.ids.index(k)
+            for begin in range(-slack, len(h)):
+                region = h[max(0, begin - slack) : begin + len(item) + slack]
+                share = decontam.lcs(item, region) / len(item)
+                if share >= decontam.LCS_SURE or share >= decontam.LCS_MAYBE and np.isin(model.items.answers[y], region).mean() >= decontam.ANSWER:
+                    want.add((d, k))
+                    break
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(df, benchmark).collect()}
+    assert got <= want
+    short = {(d, k) for d, k in want if lengths[k] < decontam.WINDOW}
+    print(len(want), len(got), len(short), len(short & got))
+    assert len(got) >= 0.9 * len(want) and len(short & got) >= 0.9 * len(short) > 20
+    assert {(k, k) for k in range(0, len(items), 4)} <= got  # verbatim copies, the shortest too
