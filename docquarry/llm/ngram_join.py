@@ -3,8 +3,9 @@
 A document is the set of its word N-grams (tokens).  The join finds all pairs of documents
 of Jaccard similarity THRESHOLD or more, exactly (up to 64-bit hash collisions):
 
-1. Documents of the same token set are collapsed to the one of lowest doc_id; the others are
-   paired with it, at similarity 1.  (All pairs within a group of copies follow from that.)
+1. Documents of the same token set are collapsed to their set.  In the end all_pairs gives each pair
+   of sets for all their documents, and all pairs of documents of one set, at similarity 1; join, from which
+   groups are made, gives the document of lowest doc_id only, and pairs the others with it.
 2. A pass over the corpus counts tokens in a sketch of fixed size.  It gives each token a level,
    rising with frequency, and a class: 1 for most, 2 for tokens of more than CLASS_SHARE[0] of the
    documents, 3 for more than CLASS_SHARE[1].  The global order of tokens is by level, then hash.
@@ -361,9 +362,8 @@ def set_ids(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, id long")
 
 
-def join(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard): pairs of documents that stand for their token sets, and each
-    document with the one of lowest doc_id that has the same set."""
+def _found(documents: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b, jaccard) of the pairs of set ids, and (doc_id, id) of all documents that have a token."""
     spark = documents.sparkSession
     docs = blocks.narrow(documents, "doc_id", "text").where("doc_id is not null")
     partitions = _partitions(spark)
@@ -374,7 +374,13 @@ def join(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     blocks.release(spark)
     found = blocks.written(verify(docs.select("text"), likely, n, t), "found")
     blocks.release(spark)
-    sets = blocks.written(set_ids(docs, n), "sets")
+    return found, blocks.written(set_ids(docs, n), "sets")
+
+
+def join(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, jaccard): pairs of documents that stand for their token sets, and each
+    document with the one of lowest doc_id that has the same set."""
+    found, sets = _found(documents, n, t)
     lead = sets.groupBy("id").agg(F.min("doc_id").alias("lead"))
     near = (
         found.join(lead.select(F.col("id").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("id").alias("b"), F.col("lead").alias("y")), "b")
@@ -384,6 +390,16 @@ def join(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     return near.unionByName(copies)
 
 
+def all_pairs(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of all pairs of documents, those of copies with copies too."""
+    found, sets = _found(documents, n, t)
+    sets = sets.distinct()
+    x, y = sets.select(F.col("id").alias("a"), F.col("doc_id").alias("x")), sets.select(F.col("id").alias("b"), F.col("doc_id").alias("y"))
+    near = found.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    copies = x.join(y, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return near.unionByName(copies)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every id of edges (a, b): root is the lowest id that it is connected with.
 
@@ -417,4 +433,4 @@ def keep_one(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFram
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return all_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))

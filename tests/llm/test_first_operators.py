@@ -192,3 +192,13 @@ def test_leaks_are_those_of_brute_force(spark):
     print(len(want), len(got), len(short), len(short & got))
     assert len(got) >= 0.9 * len(want) and len(short & got) >= 0.9 * len(short) > 20
     assert {(k, k) for k in range(0, len(items), 4)} <= got  # verbatim copies, the shortest too
+
+
+def test_all_pairs_of_copies_are_given(spark):
+    texts = near_copies(random.Random(2))
+    base = prose(random.Random(3), 80)
+    texts += [base] * 6 + [base.upper()] + [base + f" more{k}" for k in range(3)]
+    want = {(i, j): s for i in range(len(texts)) for j in range(i + 1, len(texts)) if (s := jaccard(texts[i], texts[j])) >= ngram_join.THRESHOLD - 1e-9}
+    rows = ngram_join.all_pairs(docs_of(spark, [*texts, None])).collect()
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys() and all(got[p] == pytest.approx(s) for p, s in want.items())
