@@ -17,7 +17,7 @@ source that holds most of the corpus is not one task's work.
 Defined results: a null source is the source ''; null or blank texts have no tokens and no piece;
 repeated rows of a doc_id are pieces of their own; null doc_ids are shuffled as one; without
 documents, or with given weights that are all zero, there are no slots.  Sources without a
-given weight, or one of 0, get no slot.
+given weight, or one of 0, get no slot; a weight of less than 1 / 2**RANGE_BITS of all is an error.
 """
 
 from __future__ import annotations
@@ -62,26 +62,36 @@ def targets(cut: DataFrame, weights: DataFrame | None = None) -> DataFrame:
 
 def schedule(goal: DataFrame) -> DataFrame:
     """(slot, source, epoch, block_no) of all slots."""
-    spark = goal.sparkSession
     upto = F.sum("weight").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     whole = F.sum("weight").over(Window.partitionBy())
     # one row a source: the cumulative weights are the only global window
     bounds = goal.withColumn("upto", upto).withColumn("whole", whole).select("source", "blocks", F.expr(f"((upto - weight) << {RANGE_BITS}) div whole").alias("low"), F.expr(f"(upto << {RANGE_BITS}) div whole").alias("high"), F.expr("(blocks * whole + weight - 1) div weight").alias("slots"))
     bounds = blocks.written(bounds, "bounds")
-    slots = bounds.agg(F.max("slots")).first()[0] or 0
+    slots, sources, empty = bounds.agg(F.max("slots"), F.count("*"), F.count_if(F.col("low") >= F.col("high"))).first()
+    if empty:
+        raise ValueError(f"{empty} sources have less than 1 / 2**{RANGE_BITS} of the weight: no slot would be theirs")
+    # the longest waiting source may lie a few slots beyond its expected number: take a margin, more at need, cut at the end
+    count = (slots or 0) + (slots or 0) // 50 + 64
+    while True:
+        ranked = blocks.written(_ranked(bounds, count), "slots")
+        # the slot at which the last source has used its last block
+        end, done = ranked.where("rank = blocks - 1").agg(F.max("slot"), F.count("*")).first()
+        if done == sources:
+            break
+        count *= 2
+    return ranked.where(F.col("slot") <= F.lit(-1 if end is None else end)).select("slot", "source", F.expr("rank div blocks").alias("epoch"), F.expr("rank % blocks").alias("block_no"))
+
+
+def _ranked(bounds: DataFrame, count: int) -> DataFrame:
+    """(slot, source, blocks, rank) of the first count slots; rank counts within the source."""
     shift = RANGE_BITS - 12
-    cells = bounds.where("low < high").withColumn("cell", F.explode(F.expr(f"sequence(low >> {shift}, (high - 1) >> {shift})")))
-    # the longest waiting source may lie a few slots beyond its expected number: take a margin, cut at need
-    drawn = spark.range(slots + slots // 50 + 64).select(F.col("id").alias("slot"), F.expr(f"((id * {GOLDEN}) % 4294967296) div 4").alias("point")).withColumn("cell", F.expr(f"point >> {shift}"))
+    cells = bounds.withColumn("cell", F.explode(F.expr(f"sequence(low >> {shift}, (high - 1) >> {shift})")))
+    drawn = bounds.sparkSession.range(count).select(F.col("id").alias("slot"), F.expr(f"((id * {GOLDEN}) % 4294967296) div 4").alias("point")).withColumn("cell", F.expr(f"point >> {shift}"))
     mine = drawn.join(cells, "cell").where("point >= low and point < high").select("slot", "source", "blocks", F.expr(f"slot div {CHUNK_SLOTS}").alias("chunk"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = mine.groupBy("source", "chunk").agg(F.count("*").alias("n")).select("source", "chunk", before.alias("before"))
     rank = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1
-    ranked = mine.withColumn("inside", rank).join(offsets, ["source", "chunk"]).select("slot", "source", "blocks", (F.col("before") + F.col("inside")).alias("rank"))
-    ranked = blocks.written(ranked, "slots")
-    # the slot at which the last source has used its last block
-    end = ranked.where("rank = blocks - 1").agg(F.max("slot")).first()[0]
-    return ranked.where(F.col("slot") <= F.lit(-1 if end is None else end)).select("slot", "source", F.expr("rank div blocks").alias("epoch"), F.expr("rank % blocks").alias("block_no"))
+    return mine.withColumn("inside", rank).join(offsets, ["source", "chunk"]).select("slot", "source", "blocks", (F.col("before") + F.col("inside")).alias("rank"))
 
 
 def mix(documents: DataFrame, weights: DataFrame | None = None, block: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:

@@ -202,3 +202,13 @@ def test_all_pairs_of_copies_are_given(spark):
     rows = ngram_join.all_pairs(docs_of(spark, [*texts, None])).collect()
     got = {(r.doc_a, r.doc_b): r.jaccard for r in rows}
     assert len(rows) == len(got) and got.keys() == want.keys() and all(got[p] == pytest.approx(s) for p, s in want.items())
+
+
+def test_every_block_is_scheduled(spark):
+    skewed = [("a", 100, 999), ("b", 5, 1)]
+    tiny = [(f"t{k}", 1 + k % 2, 2 + k % 40) for k in range(200)] + [("hot", 2442, 2236)]
+    for goal in (skewed, tiny):
+        rows = mixing.schedule(spark.createDataFrame(goal, "source string, blocks long, weight long")).select("source", "block_no").distinct().collect()
+        assert {(r.source, r.block_no) for r in rows} == {(s, k) for s, n, _ in goal for k in range(n)}
+    with pytest.raises(ValueError):
+        mixing.schedule(spark.createDataFrame([("a", 1, 1), ("b", 1, 1 << 31)], "source string, blocks long, weight long"))
