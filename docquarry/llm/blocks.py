@@ -210,36 +210,46 @@ def partition_id() -> int:
     return TaskContext.get().partitionId()
 
 
-def sum_arrays(df: DataFrame, make, dtype: str, blocks: int, fan: int = 32) -> list[np.ndarray]:
+def sum_arrays(df: DataFrame, make, dtype: str, blocks: int, fan: int = 16) -> list[np.ndarray]:
     """Sums arrays over all tasks; returns one per block.
 
     make(batches) yields (block, array) per task, arrays of one block all being of
-    one fixed length.  They are added pairwise in two levels, fan groups to a
-    block first, so no task and no driver step reads one array per input task.
+    one fixed length.  They are added up in a tree: no step reads more than fan arrays of a block, however many tasks
+    there are.
     """
     kind = np.dtype(dtype)
+    schema = "block int, part int, data binary"
 
     def first(batches):
-        part = partition_id() % fan
         out = list(make(batches))
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([part] * len(out), pa.int32()), pa.array([np.ascontiguousarray(a, kind).tobytes() for _, a in out], pa.binary())], names=["block", "part", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([partition_id() // fan] * len(out), pa.int32()), pa.array([np.ascontiguousarray(a, kind).tobytes() for _, a in out], pa.binary())], names=["block", "part", "data"])
 
     def add(table: pa.Table) -> pa.Table:
         total = None
         for x in table.column("data"):
             a = np.frombuffer(x.as_buffer(), kind)
             total = a.copy() if total is None else np.add(total, a, out=total)
-        return pa.table({"block": table.column("block")[:1], "data": pa.array([total.tobytes()], pa.binary())})
-
-    sums = (
-        df.mapInArrow(first, "block int, part int, data binary")
-        .groupBy("block", "part").applyInArrow(add, "block int, data binary")
-        .groupBy("block").applyInArrow(add, "block int, data binary")
-    )
-    got = {r["block"]: np.frombuffer(bytes(r["data"]), kind) for r in sums.collect()}
+        return pa.table({"block": table.column("block")[:1], "part": pa.array([table.column("part")[0].as_py() // fan], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    sums, parts = df.mapInArrow(first, schema), -(-df.rdd.getNumPartitions() // fan)
+    while True:
+        sums = sums.groupBy("block", "part").applyInArrow(add, schema)
+        if parts <= 1:
+            break
+        parts = -(-parts // fan)
+    got: dict[int, np.ndarray] = {}
+    for r in sums.collect():  # one row a block
+        a = np.frombuffer(bytes(r["data"]), kind)
+        got[r["block"]] = got[r["block"]] + a if r["block"] in got else a
     return [got.get(b) for b in range(blocks)]
 
 
+def scanned(documents: DataFrame) -> DataFrame:
+    """documents, whose rows keep their order when a task is repeated: as they are if they come from a scan, else written."""
+    plan = documents._jdf.queryExecution().executedPlan().toString()
+    return written(documents, "documents") if "Exchange" in plan else documents
+
+
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns only, so that the scan reads no others; doc_id as a long."""
     return docs.select(*[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in columns])

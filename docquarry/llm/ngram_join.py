@@ -1,33 +1,40 @@
 """Operator 2, n-gram Jaccard join with token-combination prefixes.
 
 A document is the set of its word N-grams (tokens).  The join finds all pairs of documents
-of Jaccard similarity THRESHOLD or more, exactly (up to 64-bit hash collisions):
-
-1. Documents of the same token set are collapsed to their set.  In the end all_pairs gives each pair
-   of sets for all their documents, and all pairs of documents of one set, at similarity 1; join, from which
-   groups are made, gives the document of lowest doc_id only, and pairs the others with it.
-2. A pass over the corpus counts tokens in a sketch of fixed size.  It gives each token a level,
-   rising with frequency, and a class: 1 for most, 2 for tokens of more than CLASS_SHARE[0] of the
-   documents, 3 for more than CLASS_SHARE[1].  The global order of tokens is by level, then hash.
-3. A set's prefix in that order is extended until no set that reaches the threshold can avoid
-   all its signatures, which are the single tokens of class 1 and the k-token combinations of
-   class k: destroying all those of c tokens of class k takes c - k + 1 absent tokens, so the
+of Jaccard similarity THRESHOLD or more, exactly (up to collisions of 64-bit set hashes, of 48-bit signatures, and of
+token hashes, of 32 bits and the shard's number), and reports them by document: its class and its links.
+
+1. One pass over the corpus cuts texts into token sets.  Tokens go to shards, which count each in all
+   documents.  A token that occurs in several documents of a task goes there once, with their number,
+   so a shard never holds more of it than there are tasks.
+2. Shards answer with the tokens that more than one document has, and their level, rising with frequency.
+   All other tokens can't be shared: they come first in the global order, by level, then hash.  A document
+   whose prefix has such tokens only is similar to none and goes no further.  Copies, documents of one token
+   set, are collapsed to the set.
+3. Tokens are of class 1 or, if more than CLASS_SHARE[k - 2] of the documents have them, class k.
+   A set's prefix in the global order is extended until no set that reaches the threshold can avoid
+   all its signatures: the single tokens of class 1, and for class k the combinations of k tokens of the same hash
+   group.  Destroying all those of c tokens of a group takes c - k + 1 absent tokens, so the
    prefix is the shortest one whose sum of these exceeds the number of tokens that a similar set
-   may lack.  Sets of at most SMALL tokens, too few for combinations, are indexed
-   by all their single tokens as well; a similar set of a smaller one is never larger.
-4. Signatures are shuffled as packed arrays; sets that share one and pass the length
-   filter become candidates.
-5. Candidates whose parity bitmaps of BITS_A_TOKEN bits a token or more differ in more bits than the threshold
-   allows tokens to differ are dropped; that bound is exact.
-6. The rest are verified on the whole sets.  For both steps bitmaps or sets are gathered per
-   neighbourhood, so that each travels once to each group of candidates and not once for each pair.
-
-There is no cap on partners: a token that thousands of documents share is late in the order, and
-counts only in combination.
-
-Defined results: null and empty texts have no token and pair with nothing; a text of fewer than N
-words has one token, all its words; rows of a null doc_id are left out; a doc_id that
-repeats counts once, with the text that is first in order; pairs have doc_a < doc_b.
+   may lack.  There are a set's size / GROUP groups, rounded down to a power of two, and again twice as many (so that
+   similar sets of different sizes have a grouping in common); so signatures grow as the tokens and not
+   as their k-th power.  Sets with too few tokens for that coverage are indexed by all their combinations and
+   single tokens.
+4. Signatures are shuffled as packed arrays.  Sets that share one and pass the length filter are candidates.
+   A set travels with its HEAD lowest signatures: of the shards where a pair meets, only that of the lowest
+   signature that both heads have gives it out (all do if there is none; repeats are dropped afterwards).
+   A signature of more than HOT sets is split by blocks of sets, and by pairs of blocks.
+5. Candidates are verified on their shared tokens, gathered per neighbourhood, so that a set travels once to each
+   group of candidates and not once for each pair; neighbourhoods of more than MEMBERS sets are split the same way.
+   Each gives its sets' numbers of links and a spanning forest; no pair of sets leaves it.
+6. Classes are the connected components of these forests.
+
+There is no cap on partners, and no step whose cost is bounded by dropping any.
+
+Defined results: null and empty texts have no token: they are a class of their own, without links; a text of fewer
+than N words has one token, all its words; rows of a null doc_id are left out; rows of one doc_id that
+repeat count as copies or near copies of each other, if they are; an empty table gives an empty result;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -41,14 +48,18 @@ from docquarry.llm import blocks
 
 N = 3
 THRESHOLD = 0.55
-SKETCH_BITS = 22
-#: A token is of class k + 1 if its count exceeds that share of the documents.
+#: A token is of class k + 1 if more than that share of the documents have it.
 CLASS_SHARE = (0.01, 0.05)
-#: With combinations of at most 3 tokens, sets of 6 and more always reach the coverage they need.
-SMALL = 10
-BITS_A_TOKEN = 4
-#: So many candidates' ids, 8 bytes each, are broadcast; more are joined by a shuffle.
+GROUP = 12
+HEAD = 8
+HOT = 1 << 16
+MEMBERS = 1024
+#: Tokens that a task holds before it sends them.
+FLUSH = 1 << 22
+#: So many dropped documents' ids, 8 bytes each, are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+_SEVERAL = 0xFFFF
+_PAD = np.uint64(0xFFFFFFFFFFFF)
 
 
 def token_sets(column: pa.Array, n: int):
@@ -69,41 +80,176 @@ def token_sets(column: pa.Array, n: int):
         yield a, h, at, ids
 
 
-def cells(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def lacking(size: np.ndarray, t: float) -> np.ndarray:
+    """Most tokens of a set of that size that a set of similarity t or more may lack."""
+    return size - np.ceil(t * size - 1e-9).astype(np.int64)
 
 
-def count_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """Tokens of all documents in each cell of the sketch, and the number of documents."""
-    parts, step = 32, (1 << SKETCH_BITS) // 32
+def level_of(count):
+    """Quarter powers of two: 4 and up for tokens that two documents or more have."""
+    return np.floor(4 * np.log2(count) + 1e-9).astype(np.uint8)
 
-    def run(batches):
-        total, rows = np.zeros(1 << SKETCH_BITS, np.int32), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for _, h, _, _ in token_sets(batch.column("text"), n):
-                np.add.at(total, cells(h), 1)
-        for b in range(parts):
-            yield b, np.append(total[b * step : (b + 1) * step], rows)
 
-    got = [np.zeros(step + 1, np.int32) if g is None else g for g in blocks.sum_arrays(docs, run, "i4", parts)]
-    return np.concatenate([g[:-1] for g in got]), int(got[0][-1])
+def _pack(*arrays: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
-def levels_of(load: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """Level and class of each cell of the sketch; its median load is taken for noise."""
-    noise = np.median(load)
-    extra = np.maximum(load - noise - 4 * np.sqrt(noise), 1)
-    level = np.floor(np.log2(extra)).astype(np.int8)
-    cls = np.ones(len(load), np.int8)
-    for share in CLASS_SHARE:
-        cls += extra > max(8, share * documents)
-    return level, cls
+def _planes(v: np.ndarray) -> np.ndarray:
+    """Numbers as their lowest bytes, the next bytes, and so on: the high ones compress."""
+    return np.ascontiguousarray(v.view(np.uint8).reshape(len(v), v.itemsize).T)
 
 
-def lacking(size: np.ndarray, t: float) -> np.ndarray:
-    """Most tokens of a set of that size that a set of similarity t or more may lack."""
-    return size - np.ceil(t * size - 1e-9).astype(np.int64)
+def _unplanes(data, count: int, kind, at: int = 0) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, count * width, at).reshape(width, count).T).view(kind)[:, 0]
+
+
+def _steps(v: np.ndarray) -> np.ndarray:
+    """Sorted numbers by the planes of their differences."""
+    return _planes(np.diff(v, prepend=v.dtype.type(0)))
+
+
+def _unsteps(data, count: int, kind, at: int = 0) -> np.ndarray:
+    return np.cumsum(_unplanes(data, count, kind, at), dtype=kind)
+
+
+def _six(v: np.ndarray) -> np.ndarray:
+    """The lower six bytes of 64-bit numbers."""
+    return np.ascontiguousarray(v.view(np.uint8).reshape(len(v), 8)[:, :6])
+
+
+def _unsix(data, count: int, at: int = 0) -> np.ndarray:
+    wide = np.zeros((count, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8, 6 * count, at).reshape(count, 6)
+    return wide.view(np.uint64)[:, 0]
+
+
+_EXCHANGE = "key long, home long, kind int, n int, data binary"
+_ASKED, _KEPT, _SHARED = range(3)
+
+
+def _exchange(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "home", "kind", "n", "data"])
+
+
+def _cut(n: int, shards: int, flush: int):
+    """Per task: tokens for the shards, and what the task keeps for the answers, as rows of _EXCHANGE.
+
+    A home is what a task read between two sendings; its number and its documents' places in it are the same
+    whenever the task is repeated, since a scan repeats its order.
+    """
+
+    def send(home: int, doc_ids, sets, sizes, tokens) -> pa.RecordBatch:
+        doc_ids, ids, size = np.concatenate(doc_ids), np.concatenate(sets), np.concatenate(sizes)
+        h = np.concatenate(tokens)
+        doc = np.repeat(np.arange(len(size)), size).astype(np.uint16)
+        shard = ((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+        key = (shard << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        count = np.diff(np.append(first, len(key))).astype(np.uint32)
+        several = count > 1
+        mine, place = key[first], np.where(several, _SEVERAL, doc[first] if len(first) else 0).astype(np.uint16)
+        held = np.repeat(several, count)
+        rows = [(-1 - home % shards, home, _KEPT, len(size), _pack(doc_ids, ids, size, np.array([several.sum(), held.sum()], np.int64), _steps(mine[several]), _planes(count[several]), doc[held]))]
+        edge = np.searchsorted(mine >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+        low = mine.astype(np.uint32)
+        for s in np.flatnonzero(np.diff(edge)).tolist():
+            x = slice(edge[s], edge[s + 1])
+            rows.append((s, home, _ASKED, edge[s + 1] - edge[s], _pack(_steps(low[x]), place[x], _planes(count[x]))))
+        return _exchange(rows)
+
+    def run(batches):
+        home, held, parts, docs = blocks.partition_id() << 24, 0, [], 0
+        for batch in batches:
+            doc_id = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, h, at, ids in token_sets(batch.column("text"), n):
+                for x in range(0, len(ids), _SEVERAL - 1):  # a place in the home has 16 bits
+                    y = min(len(ids), x + _SEVERAL - 1)
+                    if parts and (held + at[y] - at[x] > flush or docs + y - x >= _SEVERAL):
+                        yield send(home, *zip(*parts, strict=True))
+                        home, held, parts, docs = home + 1, 0, [], 0
+                    parts.append((doc_id[a + x : a + y], ids[x:y], np.diff(at[x : y + 1]), h[at[x] : at[y]]))
+                    held, docs = held + int(at[y] - at[x]), docs + y - x
+        if parts:
+            yield send(home, *zip(*parts, strict=True))
+
+    return run
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """For each home the tokens of this shard that more than one document has, with their levels."""
+    kind = table.column("kind")[0].as_py()
+    if kind == _KEPT:
+        return table
+    homes, sizes = table.column("home").to_pylist(), table.column("n").to_pylist()
+    v, place, count = [], [], []
+    for x, k in zip(table.column("data"), sizes, strict=True):
+        x = x.as_buffer()
+        v.append(_unsteps(x, k, np.uint32))
+        place.append(np.frombuffer(x, np.uint16, k, 4 * k))
+        count.append(_unplanes(x, k, np.uint32, 6 * k))
+    every, n = np.concatenate(v), np.concatenate(count).astype(np.int64)
+    order = np.argsort(every, kind="stable")
+    first = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1])[: len(every)])
+    total = np.empty(len(every), np.int64)
+    total[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(every))))
+    shard, rows, at = table.column("key")[0].as_py(), [], 0
+    for home, own, where in zip(homes, v, place, strict=True):
+        all_ = total[at : at + len(own)]
+        at += len(own)
+        take = all_ > 1
+        rows.append((shard, home, _SHARED, int(take.sum()), _pack(_steps(own[take]), where[take], level_of(all_[take]))))
+    return pa.Table.from_batches([_exchange(rows)])
+
+
+_SETS = "doc_id long, id long, size int, tokens binary, levels binary"
+
+
+def _choose(t: float):
+    """The documents of a home; those that may have a partner with their shared tokens, in the global order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        token, level, doc = [], [], []
+        several = at = None
+        for key, kind, k, x in zip(table.column("key").to_pylist(), table.column("kind").to_pylist(), table.column("n").to_pylist(), table.column("data"), strict=True):
+            x = x.as_buffer()
+            if kind == _SHARED:
+                token.append(_unsteps(x, k, np.uint32) | np.uint64(key << 32))
+                doc.append(np.frombuffer(x, np.uint16, k, 4 * k))
+                level.append(np.frombuffer(x, np.uint8, k, 6 * k))
+                continue
+            doc_id, ids, size = (np.frombuffer(x, np.int64, k, 8 * k * j) for j in range(3))
+            m, held = np.frombuffer(x, np.int64, 2, 24 * k)
+            several = _unsteps(x, m, np.uint64, 24 * k + 16)
+            at = np.concatenate([[0], np.cumsum(_unplanes(x, m, np.uint32, 24 * k + 16 + 8 * m))]).astype(np.int64)
+            places = np.frombuffer(x, np.uint16, held, 24 * k + 16 + 12 * m)
+        token, level, doc = (np.concatenate(c) if c else np.zeros(0, kind) for c, kind in ((token, np.uint64), (level, np.uint8), (doc, np.uint16)))
+        many = doc == _SEVERAL
+        slot = np.searchsorted(several, token[many])
+        n = at[slot + 1] - at[slot]
+        spread = np.repeat(at[slot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        token, level, doc = (np.concatenate(c) for c in ((token[~many], np.repeat(token[many], n)), (level[~many], np.repeat(level[many], n)), (doc[~many], places[spread])))
+        order = np.lexsort((token, level, doc))
+        # of a shard's number the lower 16 bits are kept
+        token, level, doc = _six(token[order]), level[order], doc[order]
+        edge = np.searchsorted(doc, np.arange(len(size) + 1))
+        active = size - np.diff(edge) <= lacking(size, t)
+        active &= size > 0
+        some = [(token[edge[d] : edge[d + 1]].tobytes(), level[edge[d] : edge[d + 1]].tobytes()) if active[d] else (None, None) for d in range(len(size))]
+        return pa.table({"doc_id": doc_id, "id": pa.array(ids, mask=size == 0), "size": size.astype(np.int32), "tokens": pa.array([x for x, _ in some], pa.binary()), "levels": pa.array([x for _, x in some], pa.binary())})
+
+    return run
+
+
+def sets_of(docs: DataFrame, n: int, t: float) -> DataFrame:
+    """(doc_id, id, size, tokens, levels) of all documents; id, the set's, is null without tokens; tokens and
+    levels hold the tokens that other documents have too, and are null if no document can be similar."""
+    shards = 2 * _partitions(docs.sparkSession)
+    asked = docs.mapInArrow(_cut(n, shards, FLUSH), _EXCHANGE)
+    return asked.groupBy("key").applyInArrow(_answer, _EXCHANGE).groupBy("home").applyInArrow(_choose(t), _SETS)
 
 
 def combine(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -119,285 +265,272 @@ def combine(tokens: np.ndarray, k: int) -> np.ndarray:
         return blocks.mix(np.repeat(pair, rest) * np.uint64(7) + tokens[third])
 
 
-def extended(tokens: np.ndarray, classes: np.ndarray, t: float) -> np.ndarray:
-    """Signatures of one set, whose distinct tokens are given in the global order."""
-    gain = np.ones(len(tokens), np.int64)
-    for k in range(2, len(CLASS_SHARE) + 2):
-        gain[np.flatnonzero(classes == k)[: k - 1]] = 0
-    need = int(lacking(np.array([len(tokens)]), t)[0]) + 1
-    p = int(np.searchsorted(np.cumsum(gain), need)) + 1
-    tokens, classes = tokens[:p], classes[:p]
-    out = [tokens[classes == 1]]
-    for k in range(2, len(CLASS_SHARE) + 2):
-        own = tokens[classes == k]
-        if len(own) >= k:
-            out.append(combine(own, k))
-    return np.concatenate(out)
-
-
-def signatures(h: np.ndarray, at: np.ndarray, level: np.ndarray, cls: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """(document, signature) of all sets of a slice."""
-    size = np.diff(at)
-    doc = np.repeat(np.arange(len(size)), size)
-    cell = cells(h)
-    order = np.lexsort((h, level[cell], doc))
-    h, c = h[order], cls[cell[order]]
-    rank = np.arange(len(h)) - at[doc]
-    inside = rank <= lacking(size, t)[doc]
+def extended(tokens: np.ndarray, classes: np.ndarray, size: int, need: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set, and for each the place of its first token in the order.
+
+    tokens are its shared tokens in the global order; need is how many of the set's tokens, less those not shared,
+    must be absent from a set that avoids all signatures.
+    """
+    single = int(np.searchsorted(classes, 2))
+    if single >= need:
+        return tokens[:need], np.arange(need)
+    sigs, places, short = [tokens[:single]], [np.arange(single)], False
+    rest, cls = tokens[single:], classes[single:].astype(np.int64)
+    groups = 1 << max(0, int(np.floor(np.log2(size / GROUP))))
+    mixed = blocks.mix(rest)
+    for _ in range(int(np.ceil(-np.log2(t))) + 1):
+        cell = (mixed & np.uint64(groups - 1)).astype(np.int64) * 8 + cls
+        order = np.argsort(cell, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(cell[order]) > 0)[: len(order)])
+        within = np.empty(len(rest), np.int64)
+        within[order] = np.arange(len(rest)) - np.repeat(first, np.diff(np.append(first, len(rest))))
+        reached = np.cumsum(within >= cls - 1)
+        p = int(np.searchsorted(reached, need - single)) + 1
+        short |= p > len(rest)
+        for c in np.unique(cell[:p]).tolist():
+            at = np.flatnonzero(cell[:p] == c)
+            if len(at) >= c % 8:
+                sigs.append(combine(rest[at], c % 8))
+                places.append(np.full(len(sigs[-1]), single + at[0]))
+        groups *= 2
+    if short:
+        sigs.append(rest)
+        places.append(single + np.arange(len(rest)))
+    sig, where = np.unique(np.concatenate(sigs), return_index=True)
+    return sig, np.concatenate(places)[where]
+
+
+def signatures(size: np.ndarray, tokens: np.ndarray, levels: np.ndarray, at: np.ndarray, bounds: list[int], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, level) of sets given by the offsets of their shared tokens; bounds: the highest level of each class."""
+    classes = 1 + np.searchsorted(np.array(bounds, np.uint8), levels, side="left")
+    need = lacking(size, t) + 1 - (size - np.diff(at))
+    doc = np.repeat(np.arange(len(size)), np.diff(at))
+    inside = np.arange(len(tokens)) - at[doc] < need[doc]
     special = np.zeros(len(size), bool)
-    special[doc[inside & (c > 1)]] = True
-    single = (inside & ~special[doc]) | (size <= SMALL)[doc]
-    docs, sigs = [doc[single]], [h[single]]
-    for d in np.flatnonzero(special & (size > 1)):
-        s = extended(h[at[d] : at[d + 1]], c[at[d] : at[d + 1]], t)
+    special[doc[inside & (classes > 1)]] = True
+    plain = inside & ~special[doc]
+    docs, sigs, level = [doc[plain]], [tokens[plain]], [levels[plain]]
+    for d in np.flatnonzero(special).tolist():
+        x = slice(at[d], at[d + 1])
+        s, place = extended(tokens[x], classes[x], int(size[d]), int(need[d]), t)
         docs.append(np.full(len(s), d))
         sigs.append(s)
+        level.append(levels[x][place])
+    return np.concatenate(docs), np.concatenate(sigs), np.concatenate(level)
+
+
+def split_hot(doc: np.ndarray, sig: np.ndarray, level: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, signature), a signature that more than most sets may have replaced by those of its pairs of blocks."""
+    hot = level > level_of(most)
+    if not hot.any():
+        return doc, sig
+    docs, sigs = [doc[~hot]], [sig[~hot]]
+    for x in np.unique(level[hot]).tolist():
+        own = hot & (level == x)
+        n = int(np.ceil(2 ** ((x + 1) / 4) / most))
+        block = (blocks.mix(ids[doc[own]]) % np.uint64(n)).astype(np.int64)
+        for other in range(n):
+            low, high = np.minimum(block, other).astype(np.uint64), np.maximum(block, other).astype(np.uint64)
+            docs.append(doc[own])
+            with np.errstate(over="ignore"):
+                sigs.append(blocks.mix(sig[own] + (low * np.uint64(n) + high + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
     return np.concatenate(docs), np.concatenate(sigs)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+def _columns(batch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
 
 
-def index_sets(docs: DataFrame, n: int, t: float, shards: int) -> DataFrame:
-    """Packed (signature, set id, set size) by shard."""
-    load, documents = count_tokens(docs, n)
-    model = docs.sparkSession.sparkContext.broadcast(levels_of(load, documents))
+def index_sets(active: DataFrame, documents: int, t: float, shards: int) -> DataFrame:
+    """Packed sets (id, size, head) and their signatures, by shard."""
+    bounds, most = [int(level_of(max(8, share * documents))) for share in CLASS_SHARE], HOT
 
     def run(batches):
-        level, cls = model.value
         for batch in batches:
-            sig, ident, size = [], [], []
-            for _, h, at, ids in token_sets(batch.column("text"), n):
-                d, s = signatures(h, at, level, cls, t)
-                sig.append(s)
-                ident.append(ids[d])
-                size.append(np.diff(at)[d].astype(np.uint32))
-            if not sig:
+            if not batch.num_rows:
                 continue
-            sig, ident, size = np.concatenate(sig), np.concatenate(ident), np.concatenate(size)
-            shard = (sig % np.uint64(shards)).astype(np.int32)
+            ids, size = _columns(batch, "id", "size")
+            ids, size = ids.view(np.uint64), size.astype(np.int64)
+            tokens = [_unsix(x.as_buffer(), len(x.as_buffer()) // 6) for x in batch.column("tokens")]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int64)
+            levels = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("levels")])
+            doc, sig = split_hot(*signatures(size, np.concatenate(tokens), levels, at, bounds, t), ids, most)
+            sig &= np.uint64((1 << 48) - 1)
+            order = np.lexsort((sig, doc))
+            doc, sig = doc[order], sig[order]
+            begin = np.searchsorted(doc, np.arange(len(ids)))
+            head = np.full((len(ids), HEAD), _PAD)
+            rank = np.arange(len(doc)) - begin[doc]
+            low = rank < HEAD
+            head[doc[low], rank[low]] = sig[low]
+            shard = (sig % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            edge = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(k, order[edge[k] : edge[k + 1]]) for k in range(shards) if edge[k] < edge[k + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([_pack(sig[o], ident[o], size[o]) for _, o in rows], pa.binary())], names=["shard", "data"])
+            doc, sig, edge = doc[order], sig[order], np.searchsorted(shard[order], np.arange(shards + 1))
+            rows = []
+            for s in np.flatnonzero(np.diff(edge)).tolist():
+                own, place = np.unique(doc[edge[s] : edge[s + 1]], return_inverse=True)
+                rows.append((s, len(own), _pack(ids[own], size[own].astype(np.uint32), _six(head[own].ravel()), _six(sig[edge[s] : edge[s + 1]]), _planes(place.astype(np.uint32)))))
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["shard", "n", "data"])
 
-    return docs.mapInArrow(run, "shard int, data binary")
+    return active.mapInArrow(run, "shard int, n int, data binary")
 
 
-def pairs_of(sig: np.ndarray, ident: np.ndarray, size: np.ndarray, t: float, most: int = 1 << 21):
-    """Distinct pairs of ids (a < b) that share a signature and pass the length filter, in batches."""
-    order = np.lexsort((ident, sig))
-    sig, ident, size = sig[order], ident[order], size[order]
-    new = np.append(True, (sig[1:] != sig[:-1]) | (ident[1:] != ident[:-1]))[: len(sig)]
-    sig, ident, size = sig[new], ident[new], size[new]
+def pairs_of(sig: np.ndarray, own: np.ndarray, size: np.ndarray, t: float, most: int = 1 << 21):
+    """Pairs of places (a < b, as a << 32 | b) that share a signature and pass the length filter, distinct within a batch."""
+    order = np.lexsort((own, sig))
+    sig, own = sig[order], own[order]
     first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
     run = np.diff(np.append(first, len(sig)))
     # each element pairs with those after it in its run
-    left = np.flatnonzero(run > 1)
-    own = np.repeat(first[left] - np.concatenate([[0], np.cumsum(run[left])[:-1]]), run[left]) + np.arange(int(run[left].sum()))
-    after = np.repeat(first[left] + run[left], run[left]) - own - 1
-    held, count = [], 0
+    after = np.repeat(first + run, run) - np.arange(len(sig)) - 1
     total = np.concatenate([[0], np.cumsum(after)])
-    x = 0
-    while x < len(own):
+    held, count, x = [], 0, 0
+    while x < len(sig):
         y = max(x + 1, int(np.searchsorted(total, total[x] + most, side="right")) - 1)
         n = after[x:y]
-        a = np.repeat(own[x:y], n)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        left = np.repeat(np.arange(x, y), n)
+        a, b = own[left], own[left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)]
         ok = np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9
-        pair = np.stack([ident[a[ok]], ident[b[ok]]], 1)
-        held.append(_distinct(pair))
+        held.append(np.unique(a[ok] << 32 | b[ok]))
         count += len(held[-1])
         if count > most:
-            held = [_distinct(np.concatenate(held))]
+            held = [np.unique(np.concatenate(held))]
             count = len(held[0])
             if count > most:
                 yield held[0]
                 held, count = [], 0
         x = y
     if count:
-        yield _distinct(np.concatenate(held))
-
-
-def _distinct(pair: np.ndarray) -> np.ndarray:
-    if not len(pair):
-        return pair
-    pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-    return pair[np.append(True, (pair[1:] != pair[:-1]).any(1))]
-
-
-def candidates(index: DataFrame, t: float, partitions: int) -> DataFrame:
-    """Pairs of set ids that share a signature."""
-
-    def run(batches):
-        data = [x.as_buffer() for batch in batches for x in batch.column("data")]
-        n = [len(x) // 20 for x in data]
-        if not data:
-            return
-        part = lambda kind, at, width: np.concatenate([np.frombuffer(x, kind, k, at * k) for x, k in zip(data, n, strict=True)])
-        for pair in pairs_of(part(np.uint64, 0, 8), part(np.uint64, 8, 8), part(np.uint32, 16, 4), t):
-            for x in range(0, len(pair), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(pair[x : x + (1 << 16), k].view(np.int64)) for k in (0, 1)], names=["a", "b"])
-
-    return index.repartition(partitions, "shard").mapInArrow(run, "a long, b long").distinct()
-
-
-def gathered(docs: DataFrame, pairs: DataFrame, n: int, payload, check, schema: str) -> DataFrame:
-    """check over the pairs of set ids, with the payloads of their sets gathered per neighbourhood.
-
-    payload(tokens, offsets, documents) gives the payloads of those documents of a slice; check(payloads
-    by id, ids a, ids b) gives columns of schema.
-    """
-    spark = docs.sparkSession
+        yield np.unique(np.concatenate(held))
+
+
+def candidates(index: DataFrame, t: float, shards: int) -> DataFrame:
+    """Pairs of set ids that share a signature, each once."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        shard, ids, size, heads, sig, own, k = np.uint64(table.column("shard")[0].as_py()), [], [], [], [], [], 0
+        for n, x in zip(table.column("n").to_pylist(), table.column("data"), strict=True):
+            x = x.as_buffer()
+            base = n * (12 + 6 * HEAD)
+            m = (len(x) - base) // 10
+            ids.append(np.frombuffer(x, np.int64, n))
+            size.append(np.frombuffer(x, np.uint32, n, 8 * n).astype(np.int64))
+            heads.append(_unsix(x, n * HEAD, 12 * n).reshape(n, HEAD))
+            sig.append(_unsix(x, m, base))
+            own.append(_unplanes(x, m, np.uint32, base + 6 * m).astype(np.int64) + k)
+            k += n
+        ids, size, heads = np.concatenate(ids), np.concatenate(size), np.concatenate(heads)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for pair in pairs_of(np.concatenate(sig), np.concatenate(own), size, t):
+            for x in range(0, len(pair), 1 << 15):
+                a, b = pair[x : x + (1 << 15)] >> 32, pair[x : x + (1 << 15)] & 0xFFFFFFFF
+                common = (heads[a][:, :, None] == heads[b][:, None, :]).any(2) & (heads[a] != _PAD)
+                lowest = heads[a, common.argmax(1)]
+                mine = ~common.any(1) | (lowest % np.uint64(shards) == shard)
+                left.append(ids[a[mine]])
+                right.append(ids[b[mine]])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return index.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+
+
+def verify(active: DataFrame, pairs: DataFrame, t: float, each: bool = False) -> DataFrame:
+    """(id, links, root) of sets in verified pairs, per neighbourhood: how many documents of other sets are similar
+    to the set, and the lowest set that it is connected with there.  With each, the pairs (a, b, jaccard) instead."""
+    spark = active.sparkSession
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    home = both.groupBy("a").agg(F.least("a", F.min("b")).alias("home"))
-    placed = blocks.written(pairs.join(home, "a").withColumn("home", F.pmod(F.xxhash64("home"), F.lit(_partitions(spark) * 8)).cast("int")), "placed")
-    members = placed.select(F.col("home").alias("place"), F.col("a").alias("id")).unionByName(placed.select(F.col("home").alias("place"), F.col("b").alias("id"))).distinct()
-    wanted = members.select("id").distinct()
-    count = wanted.count()
-    few = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["id"].to_numpy(np.int64))) if count <= MOST_BROADCAST else None
-
-    def run(batches):
-        sent: set[int] = set()
-        for batch in batches:
-            for _, h, at, ids in token_sets(batch.column("text"), n):
-                key = ids.view(np.int64)
-                take = np.diff(at) > 0
-                if few is not None:
-                    take &= np.isin(key, few.value)
-                rows = []
-                for d in np.flatnonzero(take).tolist():
-                    if int(key[d]) not in sent:  # copies within a task travel once; it holds wanted ids only
-                        rows.append(d)
-                        if few is not None:
-                            sent.add(int(key[d]))
-                yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(payload(h, at, rows), pa.binary())], names=["id", "data"])
-
-    sets = members.join(docs.mapInArrow(run, "id long, data binary"), "id")
+    home = blocks.written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("home")), "homes")
+    blocks_of = home.groupBy("home").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    homes = home.join(blocks_of, "home").select("a", "home", "parts")
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts"))
+    placed = pairs.join(homes, "a").select("a", "b", F.pmod(F.xxhash64("home", F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))), F.lit(_partitions(spark) * 64)).alias("place"))
+    placed = blocks.written(placed, "placed")
+    members = placed.select(F.col("place").alias("spot"), F.col("a").alias("id")).unionByName(placed.select(F.col("place").alias("spot"), F.col("b").alias("id"))).distinct()
+    sets = members.join(active.select("id", "size", "copies", "tokens"), "id").select("spot", "id", "size", "copies", "tokens")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        data: dict[int, object] = {}
-        for i, x in zip(right.column("id").to_pylist(), right.column("data"), strict=True):
-            data.setdefault(i, x.as_buffer())
-        return check(data, left.column("a").to_numpy(), left.column("b").to_numpy())
-
-    return placed.groupBy("home").cogroup(sets.groupBy("place")).applyInArrow(meet, schema)
-
-
-def _bitmaps(h: np.ndarray, at: np.ndarray, rows: list[int]) -> list[bytes]:
-    """Size and parity bitmap of each set: bit i tells whether an odd number of its tokens falls to i."""
-    out = []
-    for d in rows:
-        own = h[at[d] : at[d + 1]]
-        bits = max(64, 1 << int(BITS_A_TOKEN * len(own) - 1).bit_length())
-        odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-        out.append(np.uint32(len(own)).tobytes() + np.packbits(odd.astype(bool)).tobytes())
-    return out
-
-
-def _folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """A parity bitmap of fewer bytes; a token's bit is given by its low bits at any size."""
-    while len(bits) > size:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
-    return bits
-
-
-def prune(docs: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
-    """The pairs whose bitmaps allow the threshold: sets differ in at least as many tokens as their bitmaps in bits."""
-
-    def check(data, a, b):
-        sets = {i: (int(np.frombuffer(x, np.uint32, 1)[0]), np.frombuffer(x, np.uint8, offset=4)) for i, x in data.items()}
-        keep = np.zeros(len(a), bool)
-        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-            (m, u), (n, v) = sets[x], sets[y]
-            size = min(len(u), len(v))
-            apart = int(np.bitwise_count((_folded(u, size) ^ _folded(v, size)).view(np.uint64)).sum())
-            same = (m + n - apart) / 2
-            keep[k] = same >= (t - 1e-9) * (m + n - same)
-        return pa.table({"a": a[keep], "b": b[keep]})
-
-    return gathered(docs, pairs, n, _bitmaps, check, "a long, b long")
-
-
-def verify(docs: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs of set ids that reach the threshold."""
-
-    def payload(h, at, rows):
-        return [np.sort(h[at[d] : at[d + 1]].astype(np.uint32)).tobytes() for d in rows]
-
-    def check(data, left, right):
-        tokens = {i: np.frombuffer(x, np.uint32) for i, x in data.items()}
-        a, b, j = [], [], []
-        for x, y in zip(left.tolist(), right.tolist(), strict=True):
-            u, v = tokens[x], tokens[y]
-            if len(u) > len(v):
-                u, v = v, u
-            same = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
-            score = same / (len(u) + len(v) - same)
-            if score >= t - 1e-9:
-                a.append(x)
-                b.append(y)
-                j.append(score)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
-
-    return gathered(docs, pairs, n, payload, check, "a long, b long, jaccard double")
+        ids, size, copies = _columns(right, "id", "size", "copies")
+        order = np.argsort(ids)
+        tokens = [np.sort(_unsix(x.as_buffer(), len(x.as_buffer()) // 6)) for x in right.column("tokens")]
+        a, b = (order[np.searchsorted(ids, c, sorter=order)] for c in _columns(left, "a", "b"))
+        same = np.array([_shared(tokens[x], tokens[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+        score = same / (size[a] + size[b] - same)
+        good = score >= t - 1e-9
+        a, b = a[good], b[good]
+        if each:
+            return pa.table({"a": ids[a], "b": ids[b], "jaccard": score[good]})
+        links = np.zeros(len(ids), np.int64)
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        root = ids.copy()
+        while len(a):
+            low, before = np.minimum(root[a], root[b]), root.copy()
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            if (root == before).all():
+                break
+        some = links > 0
+        return pa.table({"id": ids[some], "links": links[some], "root": root[some]})
+
+    return placed.groupBy("place").cogroup(sets.groupBy("spot")).applyInArrow(meet, "a long, b long, jaccard double" if each else "id long, links long, root long")
+
+
+def _shared(u: np.ndarray, v: np.ndarray) -> int:
+    if len(u) > len(v):
+        u, v = v, u
+    return int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()) if len(u) else 0
 
 
 def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def set_ids(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, id): the set id of every document that has a token."""
-
-    def run(batches):
-        for batch in batches:
-            ids = np.zeros(batch.num_rows, np.uint64)
-            full = np.zeros(batch.num_rows, bool)
-            for a, _, at, own in token_sets(batch.column("text"), n):
-                ids[a : a + len(own)], full[a : a + len(own)] = own, np.diff(at) > 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids.view(np.int64))], names=["doc_id", "id"]).filter(pa.array(full))
-
-    return docs.mapInArrow(run, "doc_id long, id long")
-
-
-def _found(documents: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
-    """(a, b, jaccard) of the pairs of set ids, and (doc_id, id) of all documents that have a token."""
+def _prepared(documents: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents' sets, the distinct ones that may have a partner, and candidate pairs of these."""
     spark = documents.sparkSession
-    docs = blocks.narrow(documents, "doc_id", "text").where("doc_id is not null")
-    partitions = _partitions(spark)
+    docs = blocks.narrow(blocks.scanned(documents), "doc_id", "text").where("doc_id is not null")
     # each step's shuffles are done with when its table is written
-    pairs = blocks.written(candidates(index_sets(docs.select("text"), n, t, partitions * 8), t, partitions), "pairs")
-    blocks.release(spark)
-    likely = blocks.written(prune(docs.select("text"), pairs, n, t), "likely")
+    sets = blocks.written(sets_of(docs, n, t), "sets")
     blocks.release(spark)
-    found = blocks.written(verify(docs.select("text"), likely, n, t), "found")
+    distinct = sets.where("tokens is not null").groupBy("id").agg(F.count("*").alias("copies"), F.any_value(F.struct("size", "tokens", "levels")).alias("x"))
+    active = blocks.written(distinct.select("id", "copies", "x.*"), "active")
     blocks.release(spark)
-    return found, blocks.written(set_ids(docs, n), "sets")
+    # a tenth of the tokens come this far
+    shards = max(1, _partitions(spark) // 4)
+    pairs = blocks.written(candidates(index_sets(active, sets.count(), t, shards), t, shards), "pairs")
+    return sets, active, pairs
 
 
 def join(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """(doc_a, doc_b, jaccard): pairs of documents that stand for their token sets, and each
     document with the one of lowest doc_id that has the same set."""
-    found, sets = _found(documents, n, t)
+    sets, active, pairs = _prepared(documents, n, t)
+    sets = sets.where("id is not null").select("doc_id", "id")
     lead = sets.groupBy("id").agg(F.min("doc_id").alias("lead"))
     near = (
-        found.join(lead.select(F.col("id").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("id").alias("b"), F.col("lead").alias("y")), "b")
+        verify(active, pairs, t, each=True).join(lead.select(F.col("id").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("id").alias("b"), F.col("lead").alias("y")), "b")
         .where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
     )
-    copies = sets.join(lead, "id").where("doc_id <> lead").select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    return near.unionByName(copies)
-
-
-def all_pairs(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of all pairs of documents, those of copies with copies too."""
-    found, sets = _found(documents, n, t)
-    sets = sets.distinct()
-    x, y = sets.select(F.col("id").alias("a"), F.col("doc_id").alias("x")), sets.select(F.col("id").alias("b"), F.col("doc_id").alias("y"))
-    near = found.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    copies = x.join(y, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(copies)
+    copies = sets.join(lead, "id").where("doc_id <> lead").select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return near.unionByName(copies).distinct()
+
+
+def classes(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links), a row per row of documents that has a doc_id: the lowest doc_id of those that it is
+    connected with by pairs of similarity t or more, and how many other documents it forms such pairs with."""
+    sets, active, pairs = _prepared(documents, n, t)
+    found = blocks.written(verify(active, pairs, t), "found")
+    blocks.release(documents.sparkSession)
+    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    own = sets.where("id is not null").groupBy("id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("lead"))
+    own = own.join(links, "id", "left").join(roots, "id", "left").select("id", "lead", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "id").alias("root"))
+    own = blocks.written(own.where("links > 0"), "linked")
+    least = own.groupBy("root").agg(F.min("lead").alias("class_id"))
+    known = own.join(least, "root").select("id", "class_id", "links")
+    return sets.select("doc_id", "id").join(known, "id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -427,10 +560,11 @@ def keep_one(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFram
     Rows of one doc_id that repeat are left as they are (they share its fate); rows of a null
     doc_id stay.
     """
-    edges = join(documents, n, t).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-    gone = blocks.written(components(edges).where("id <> root").select(F.col("id").alias("_gone")), "gone")
-    return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
+    gone = classes(documents, n, t).groupBy("doc_id").agg(F.min("class_id").alias("class_id")).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
+    gone = blocks.written(gone, "gone")
+    few = gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return documents.join(F.broadcast(gone) if few else gone.hint("merge"), documents["doc_id"] == gone["_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -70,19 +70,6 @@ def test_join_equals_brute_force(spark, monkeypatch, share):
     assert got.keys() == want.keys() and all(got[p] == pytest.approx(s) for p, s in want.items())
 
 
-def test_pruning_bound_holds(spark):
-    rng = np.random.default_rng(3)
-    for _ in range(200):
-        a = rng.integers(0, 1 << 62, rng.integers(1, 400)).astype(np.uint64)
-        b = np.concatenate([a[: rng.integers(0, len(a) + 1)], rng.integers(0, 1 << 62, rng.integers(1, 300)).astype(np.uint64)])
-        at = np.array([0, len(a), len(a) + len(b)])
-        x, y = ngram_join._bitmaps(np.concatenate([a, b]), at, [0, 1])
-        u, v = np.frombuffer(x, np.uint8, offset=4), np.frombuffer(y, np.uint8, offset=4)
-        size = min(len(u), len(v))
-        apart = int(np.bitwise_count(ngram_join._folded(u, size) ^ ngram_join._folded(v, size)).sum())
-        assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
-
-
 def test_one_of_each_group_stays(spark):
     rng = random.Random(4)
     texts = near_copies(rng)
@@ -194,14 +181,56 @@ def test_leaks_are_those_of_brute_force(spark):
     assert {(k, k) for k in range(0, len(items), 4)} <= got  # verbatim copies, the shortest too
 
 
-def test_all_pairs_of_copies_are_given(spark):
-    texts = near_copies(random.Random(2))
-    base = prose(random.Random(3), 80)
+@pytest.mark.parametrize(("share", "flush", "hot", "members"), [((0.01, 0.05), 1 << 22, 1 << 16, 4096), ((0.01, 0.05), 500, 4, 3), ((0.9, 0.95), 2000, 3, 2), ((0.001, 0.9), 1, 1 << 16, 5)])
+def test_classes_and_links_equal_brute_force(spark, monkeypatch, share, flush, hot, members):
+    for name, value in {"CLASS_SHARE": share, "FLUSH": flush, "HOT": hot, "MEMBERS": members}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(2)
+    texts = near_copies(rng)
+    base = prose(rng, 80)
     texts += [base] * 6 + [base.upper()] + [base + f" more{k}" for k in range(3)]
-    want = {(i, j): s for i in range(len(texts)) for j in range(i + 1, len(texts)) if (s := jaccard(texts[i], texts[j])) >= ngram_join.THRESHOLD - 1e-9}
-    rows = ngram_join.all_pairs(docs_of(spark, [*texts, None])).collect()
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in rows}
-    assert len(rows) == len(got) and got.keys() == want.keys() and all(got[p] == pytest.approx(s) for p, s in want.items())
+    long = prose(rng, 400).split()
+    texts += [" ".join(rng.choice(WORDS) + "q" if rng.random() < 0.06 else w for w in long) for _ in range(12)]
+    root, links = list(range(len(texts))), [0] * len(texts)
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= ngram_join.THRESHOLD - 1e-9:
+                links[i], links[j] = links[i] + 1, links[j] + 1
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    df = docs_of(spark, [*texts, None])
+    rows = ngram_join.classes(df.unionByName(df.limit(3).withColumn("doc_id", F.lit(None).cast("long")))).collect()
+    got = {r.doc_id: (r.class_id, r.links) for r in rows}
+    assert len(rows) == len(got) and got == {k: (root[k], links[k]) for k in range(len(texts))} | {len(texts): (len(texts), 0)}
+    assert ngram_join.classes(df.limit(0)).count() == 0
+
+
+def test_combinations_of_frequent_tokens_lose_no_pair():
+    rng = np.random.default_rng(4)
+    t, hit = ngram_join.THRESHOLD, 0
+    for _ in range(1500):
+        size = int(rng.integers(1, 300))
+        every = rng.integers(0, 1 << 62, 2 * size + 60).astype(np.uint64)
+        common = int(rng.integers(1, size + 1))
+        x, y = every[:size], np.concatenate([every[:common], every[size : size + int(rng.integers(0, size))]])
+        if common / (len(x) + len(y) - common) < t:
+            continue
+        hit += 1
+        level_of = lambda h: (4 + blocks.mix(h) % np.uint64(40)).astype(np.uint8)
+        found = []
+        for own in (x, y):
+            own = own[np.lexsort((own, level_of(own)))]
+            _, sig, _ = ngram_join.signatures(np.array([len(own)]), own, level_of(own), np.array([0, len(own)]), [6, 20], t)
+            found.append(set(sig.tolist()))
+        assert found[0] & found[1]
+    assert hit > 100
+
+
+def test_repeated_rows_of_one_document(spark):
+    df = docs_of(spark, ["a b c d e f", "a b c d e f", "x y z u v w"])
+    rows = sorted(tuple(r) for r in ngram_join.classes(df.unionByName(df.where("doc_id = 2"))).collect())
+    assert rows == [(0, 0, 1), (1, 0, 1), (2, 2, 1), (2, 2, 1)]
+    assert sorted(r.doc_id for r in ngram_join.keep_one(df.unionByName(df.where("doc_id = 2"))).collect()) == [0, 2, 2]
 
 
 def test_every_block_is_scheduled(spark):
