@@ -7,7 +7,7 @@
 2. Sources get integer target weights, by default floor(sqrt(tokens)), given weights otherwise.
 3. Slot i is at the golden-ratio point (i * 2654435769 mod 2**32) / 4; the source whose interval of the
    cumulative weights, scaled to 2**30, holds it gets the slot.  At any length of the
-   schedule each source's share is then within O(log n / n) of its weight.
+   schedule each source's share is then within O(log n / n) of its weight.  After 2**32 slots the points begin again.
 4. Slots are ranked per source and take its blocks in turn; a source that runs out begins again
    (epoch).  There are as many slots as it takes for every block to be used.
 
@@ -35,6 +35,12 @@ RANGE_BITS = 30
 CHUNK_SLOTS = 1 << 16
 
 
+def point(slot: str, div: str = "div") -> str:
+    """SQL of the point of a slot, of any number: GOLDEN is multiplied by halves, so that nothing overflows."""
+    low, high = f"({slot} % 65536)", f"(({slot} {div} 65536) % 65536)"
+    return f"(((({high} * {GOLDEN}) % 65536) * 65536 + {low} * {GOLDEN}) % 4294967296) {div} 4"
+
+
 def pieces(documents: DataFrame, block: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
     """(source, block_no, doc_id, from_token, to_token): pieces of documents by block."""
     d = documents.select(
@@ -86,7 +92,7 @@ def _ranked(bounds: DataFrame, count: int) -> DataFrame:
     """(slot, source, blocks, rank) of the first count slots; rank counts within the source."""
     shift = RANGE_BITS - 12
     cells = bounds.withColumn("cell", F.explode(F.expr(f"sequence(low >> {shift}, (high - 1) >> {shift})")))
-    drawn = bounds.sparkSession.range(count).select(F.col("id").alias("slot"), F.expr(f"((id * {GOLDEN}) % 4294967296) div 4").alias("point")).withColumn("cell", F.expr(f"point >> {shift}"))
+    drawn = bounds.sparkSession.range(count).select(F.col("id").alias("slot"), F.expr(point("id")).alias("point")).withColumn("cell", F.expr(f"point >> {shift}"))
     mine = drawn.join(cells, "cell").where("point >= low and point < high").select("slot", "source", "blocks", F.expr(f"slot div {CHUNK_SLOTS}").alias("chunk"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = mine.groupBy("source", "chunk").agg(F.count("*").alias("n")).select("source", "chunk", before.alias("before"))
@@ -118,7 +124,7 @@ cut AS (
 goal AS (SELECT source, max(block_no) + 1 AS blocks, CAST(floor(sqrt(sum(to_token - from_token))) AS BIGINT) AS weight FROM cut GROUP BY source),
 c AS (SELECT *, CAST(sum(weight) OVER (ORDER BY source) AS BIGINT) AS upto, CAST(sum(weight) OVER () AS BIGINT) AS whole FROM goal),
 bounds AS (SELECT source, blocks, ((upto - weight) * {1 << RANGE_BITS}) // whole AS low, (upto * {1 << RANGE_BITS}) // whole AS high, (blocks * whole + weight - 1) // weight AS slots FROM c),
-drawn AS (SELECT i AS slot, ((i * {GOLDEN}) % 4294967296) // 4 AS point FROM (SELECT unnest(range((SELECT CAST(max(slots) + max(slots) // 50 + 64 AS BIGINT) FROM bounds))) AS i)),
+drawn AS (SELECT i AS slot, {point("i", "//")} AS point FROM (SELECT unnest(range((SELECT CAST(max(slots) + max(slots) // 50 + 64 AS BIGINT) FROM bounds))) AS i)),
 ranked AS (SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM drawn JOIN bounds ON point >= low AND point < high),
 s AS (SELECT slot, source, rank // blocks AS epoch, rank % blocks AS block_no FROM ranked WHERE slot <= (SELECT max(slot) FROM ranked WHERE rank = blocks - 1))
 SELECT slot, s.source, epoch, s.block_no, doc_id, from_token, to_token FROM s JOIN cut ON s.source = cut.source AND s.block_no = cut.block_no

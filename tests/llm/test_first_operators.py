@@ -241,3 +241,19 @@ def test_every_block_is_scheduled(spark):
         assert {(r.source, r.block_no) for r in rows} == {(s, k) for s, n, _ in goal for k in range(n)}
     with pytest.raises(ValueError):
         mixing.schedule(spark.createDataFrame([("a", 1, 1), ("b", 1, 1 << 31)], "source string, blocks long, weight long"))
+
+
+def test_points_of_late_slots(spark):
+    slots = [0, 1, 65_535, 65_536, 3_474_701_533, (1 << 32) - 1, 1 << 32, (1 << 40) + 12_345, (1 << 62) + 7]
+    got = spark.createDataFrame([(k,) for k in slots], "id long").select("id", F.expr(mixing.point("id")).alias("p")).collect()
+    assert {r.id: r.p for r in got} == {k: (k * mixing.GOLDEN % (1 << 32)) // 4 for k in slots}
+    assert duckdb.sql(f"SELECT {mixing.point('i', '//')} FROM (VALUES (CAST(3474701533 AS BIGINT))) t(i)").fetchall() == [((3474701533 * mixing.GOLDEN % (1 << 32)) // 4,)]
+
+
+def test_mixing_of_ties_and_nulls(spark):
+    rows = [(None, "a b c", "s"), (None, "d e", "s"), (1, "x y", "s"), (1, "x y", "s"), (2, "z", None)]
+    df = spark.createDataFrame([(*r, 7, "t") for r in rows], "doc_id long, text string, source string, slot long, tokens string")
+    got = sorted((tuple(r) for r in mixing.mix(df, block=3).collect()), key=str)
+    documents = df.toArrow()  # noqa: F841
+    want = duckdb.connect().sql(mixing.SQL.replace(str(mixing.BLOCK_TOKENS), "3")).fetchall()
+    assert got == sorted(want, key=str) and sum(r[6] - r[5] for r in got if r[2] == 0) == 10
