@@ -1,21 +1,22 @@
 """Operator 1, quality classifier: attention-based multiple-instance learning.
 
 A document is a bag of passages of 64 words, covering the whole text.  Every passage is
-encoded as a vector of character-class shares, word-repetition shares and lexicon
-scores; a gated attention layer, learned from document labels alone, weighs the
+encoded as a vector of character-class shares, word-repetition shares, lexicon scores and the mean of its words'
+embeddings (EMBED leading right singular vectors of the sample's TF-IDF passages, hashed words); a gated attention layer, learned from document labels alone, weighs the
 passages; the weighted mean passage is scored by a logistic layer.  There is one
 such model for low quality and one for toxicity, each with its own attention, so
 that a few bad words in one of a thousand passages can decide.
 
-The lexicon, the layers and the thresholds are fitted on the driver from a sample of
-at most max_labelled labelled documents (a documented bound: fitting needs no
+The embeddings, the lexicon, the layers and the thresholds are fitted on the driver from a sample of
+at most max_labelled labelled documents of the table (a documented bound: fitting needs no
 more); everything else is one pass over the documents without a shuffle.
 
 Defined results: a text that is null or has no word has no passages, quality 0, toxicity
 0 and is rejected.  Rows repeat as often as the input repeats them.  Without
-usable labels (none, or one class only) that model scores nothing: its score is null and it
+usable labels (none, one class only, or none of documents in the table) that model scores nothing: its score is null and it
 rejects nothing.  Labels that are null are not used; a document with conflicting
-labels counts as bad.
+labels counts as bad; of a doc_id that repeats, the first text in order is fitted on.  Of passages of equal attention
+the first is the worst.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ PASSAGE_WORDS = 64
 MAX_LABELLED = 3000
 HIDDEN = 16
 LEXICON_BITS = 16
+EMBED = 16
+DECAY = 5e-3
 #: Share of held-out good documents that a threshold may reject.
 GOOD_LOST = 0.002
 
@@ -80,6 +83,14 @@ class Head:
         return _sigmoid(s + self.b), a
 
 
+@dataclass(eq=False)
+class Model:
+    """Heads for low quality and for toxicity (None if there was nothing to learn from), and the words' embeddings."""
+
+    heads: list[Head | None]
+    words: np.ndarray
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -94,7 +105,34 @@ def _softmax(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return e / np.repeat(np.add.reduceat(e, at), n)
 
 
-def encode(data: np.ndarray, bounds: np.ndarray, w: blocks.Words, lexicons: list[Lexicon]) -> tuple[list[np.ndarray], np.ndarray]:
+def learn_embedding(w: blocks.Words, size: int = EMBED, seed: int = 3) -> np.ndarray:
+    """A vector for each slot of word hashes, by a randomised SVD of the sample's TF-IDF passages; zero for other words."""
+    slots = 1 << LEXICON_BITS
+    n = -(-np.diff(w.offsets) // PASSAGE_WORDS)
+    first = np.concatenate([[0], np.cumsum(n)])
+    passage = np.repeat(first[:-1] - w.offsets[:-1] // PASSAGE_WORDS, np.diff(w.offsets)) * PASSAGE_WORDS + np.arange(len(w.hashes)) - np.repeat(w.offsets[:-1] % PASSAGE_WORDS, np.diff(w.offsets))
+    key, tf = np.unique((passage // PASSAGE_WORDS << LEXICON_BITS) | (w.hashes & np.uint64(slots - 1)).astype(np.int64), return_counts=True)
+    row, slot = key >> LEXICON_BITS, key & (slots - 1)
+    if not len(key):
+        return np.zeros((slots, size), np.float32)
+    df = np.bincount(slot, minlength=slots)
+    idf = np.log((1 + first[-1]) / (1 + df)) + 1
+    x = (1 + np.log(tf)) * idf[slot]
+    x /= np.sqrt(np.bincount(row, x * x))[row]
+    edge = np.flatnonzero(np.diff(row, prepend=-1))
+    y = np.add.reduceat(np.random.default_rng(seed).standard_normal((slots, size + 8), dtype=np.float32)[slot] * x[:, None], edge)
+    q = np.linalg.qr(y)[0]
+    order = np.argsort(slot, kind="stable")
+    edge = np.flatnonzero(np.diff(slot[order], prepend=-1))
+    b = np.zeros((slots, q.shape[1]))
+    b[slot[order][edge]] = np.add.reduceat(q[row[order]] * x[order, None], edge)
+    u = np.linalg.svd(b, full_matrices=False)[0][:, :size] * (idf * (df > 0))[:, None] * 100
+    out = np.zeros((slots, size), np.float32)
+    out[:, : u.shape[1]] = u
+    return out
+
+
+def encode(data: np.ndarray, bounds: np.ndarray, w: blocks.Words, lexicons: list[Lexicon], words: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """For each lexicon a vector per passage; passages' offsets by document.
 
     The characters between the words belong to the passage of the word before
@@ -105,7 +143,7 @@ def encode(data: np.ndarray, bounds: np.ndarray, w: blocks.Words, lexicons: list
     offsets = np.concatenate([[0], np.cumsum(n)])
     total = int(offsets[-1])
     if not total:
-        return [np.zeros((0, N_SHAPE + 2))] * len(lexicons), offsets
+        return [np.zeros((0, N_SHAPE + 2 + EMBED))] * len(lexicons), offsets
     first = np.repeat(w.offsets[:-1] - offsets[:-1] * PASSAGE_WORDS, n) + np.arange(total) * PASSAGE_WORDS
     doc = np.repeat(np.arange(len(n)), n)
     start = w.starts[first]
@@ -124,14 +162,18 @@ def encode(data: np.ndarray, bounds: np.ndarray, w: blocks.Words, lexicons: list
     same1[1:] = w.hashes[1:] == w.hashes[:-1]
     same2 = np.zeros(len(w.hashes), np.float32)
     same2[2:] = w.hashes[2:] == w.hashes[:-2]
+    begins = w.offsets[:-1][count > 0]  # a document's words are not compared with the one before
+    same1[begins] = same2[begins] = 0
+    same2[begins[count[count > 0] > 1] + 1] = 0
     lens = (w.ends - w.starts).astype(np.float32)
     per = np.stack([np.add.reduceat(x, first) / size for x in (same1, same2, lens, lens > 12)], 1)
     per[:, 2] /= 10
     shape = np.hstack([np.sqrt(shares), per])
+    meaning = np.add.reduceat(words[(w.hashes & np.uint64(len(words) - 1)).astype(np.int64)], first) / size[:, None]
     out = []
     for lexicon in lexicons:
         v = lexicon.of(w.hashes)
-        out.append(np.hstack([shape, (np.add.reduceat(v, first) / size)[:, None], np.maximum.reduceat(v, first)[:, None]]))
+        out.append(np.hstack([shape, (np.add.reduceat(v, first) / size)[:, None], np.maximum.reduceat(v, first)[:, None], meaning]))
     return out, offsets
 
 
@@ -178,7 +220,7 @@ def learn_head(x: np.ndarray, offsets: np.ndarray, bad: np.ndarray, rows: np.nda
         up = np.repeat(err, size)
         da = up * a * (e - np.repeat(bag, size))  # through the softmax
         dg = da[:, None] * p["w"]
-        grad = {"b": np.array([err.sum()]), "c": z.T @ (up * a) + 1e-4 * p["c"], "w": g.T @ da + 1e-4 * p["w"], "v": z.T @ (dg * sg * (1 - th * th)) + 1e-4 * p["v"], "u": z.T @ (dg * th * sg * (1 - sg)) + 1e-4 * p["u"]}
+        grad = {"b": np.array([err.sum()]), "c": z.T @ (up * a) + DECAY * p["c"], "w": g.T @ da + DECAY * p["w"], "v": z.T @ (dg * sg * (1 - th * th)) + DECAY * p["v"], "u": z.T @ (dg * th * sg * (1 - sg)) + DECAY * p["u"]}
         for k in p:
             m[k] += 0.1 * (grad[k] - m[k])
             s[k] += 0.01 * (grad[k] ** 2 - s[k])
@@ -197,15 +239,16 @@ def _threshold(score: np.ndarray, bad: np.ndarray) -> float:
     return at
 
 
-def fit(texts: pa.Array, bad_quality: np.ndarray, bad_toxic: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> list[Head | None]:
+def fit(texts: pa.Array, bad_quality: np.ndarray, bad_toxic: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> Model:
     """Heads for low quality and for toxicity; a fifth of the sample is held out for the thresholds."""
     parts = list(blocks.worded(texts))
     if not parts:
-        return [None, None]
+        return Model([None, None], np.zeros((1, EMBED), np.float32))
     offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[4].offsets) for p in parts]))])
     w = blocks.Words(np.concatenate([p[4].hashes for p in parts]), np.zeros(0), np.zeros(0), offsets)
     held = np.arange(len(offsets) - 1) % 5 == 0
     heads: list[Head | None] = []
+    words = learn_embedding(w)
     for bad, have in ((bad_quality, known[0]), (bad_toxic, known[1])):
         rows = have & ~held
         if min((bad & rows).sum(), (~bad & rows).sum()) < 2:
@@ -214,7 +257,7 @@ def fit(texts: pa.Array, bad_quality: np.ndarray, bad_toxic: np.ndarray, known:
         lexicon = learn_lexicon(w, bad, rows)
         x, at = [], [np.zeros(1, np.int64)]
         for _, _, data, bounds, own in parts:
-            (v,), o = encode(data, bounds, own, [lexicon])
+            (v,), o = encode(data, bounds, own, [lexicon], words)
             x.append(v)
             at.append(o[1:] + at[-1][-1])
         z, o = np.concatenate(x), np.concatenate(at)
@@ -223,27 +266,29 @@ def fit(texts: pa.Array, bad_quality: np.ndarray, bad_toxic: np.ndarray, known:
         if min((bad & check).sum(), (~bad & check).sum()) >= 5:
             head.threshold = _threshold(head.score(z, o)[0][check], bad[check])
         heads.append(head)
-    return heads
+    return Model(heads, words)
 
 
-def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Head | None]:
+def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Fits on at most max_labelled labelled documents, those of the lowest hash of doc_id."""
     l = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    l = l.join(blocks.narrow(documents, "doc_id"), "doc_id", "left_semi")
     picked = l.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = blocks.narrow(documents, "doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality", "toxic")
+    rows = blocks.narrow(documents, "doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
     sample = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     of = lambda c: np.array([-1 if v is None else v for v in sample.column(c).to_pylist()], int)
     q, t = of("quality"), of("toxic")
     return fit(sample.column("text"), q == 0, t == 1, (q >= 0, t >= 0))
 
 
-def _scored(column: pa.Array, heads: list[Head | None]) -> dict[str, np.ndarray]:
+def _scored(column: pa.Array, model: Model) -> dict[str, np.ndarray]:
     """Results by row for one text column."""
     n = len(column)
     out = {"passages": np.zeros(n, np.int32), "quality": np.zeros(n), "toxicity": np.zeros(n), "worst_passage": np.full(n, -1, np.int32), "keep": np.zeros(n, bool)}
+    heads = model.heads
     real = [h for h in heads if h is not None]
     for a, b, data, bounds, w in blocks.worded(column):
-        vectors, offsets = encode(data, bounds, w, [h.lexicon for h in real] or [Lexicon()])
+        vectors, offsets = encode(data, bounds, w, [h.lexicon for h in real] or [Lexicon()], model.words)
         size = np.diff(offsets)
         out["passages"][a:b] = size
         keep = size > 0
@@ -253,6 +298,7 @@ def _scored(column: pa.Array, heads: list[Head | None]) -> dict[str, np.ndarray]
                 out[name][a:b] = np.where(size > 0, np.nan, 0)
                 continue
             p, att = head.score(vectors[real.index(head)], offsets)
+            p = np.round(p, 9)  # so that repeated rows agree wherever they stand
             keep &= p < head.threshold
             out[name][a:b] = np.where(size > 0, 1 - p if k == 0 else p, 0)
             if k == 0 or heads[0] is None:
