@@ -119,13 +119,9 @@ def learn_embedding(w: blocks.Words, size: int = EMBED, seed: int = 3) -> np.nda
     idf = np.log((1 + first[-1]) / (1 + df)) + 1
     x = (1 + np.log(tf)) * idf[slot]
     x /= np.sqrt(np.bincount(row, x * x))[row]
-    edge = np.flatnonzero(np.diff(row, prepend=-1))
-    y = np.add.reduceat(np.random.default_rng(seed).standard_normal((slots, size + 8), dtype=np.float32)[slot] * x[:, None], edge)
-    q = np.linalg.qr(y)[0]
-    order = np.argsort(slot, kind="stable")
-    edge = np.flatnonzero(np.diff(slot[order], prepend=-1))
-    b = np.zeros((slots, q.shape[1]))
-    b[slot[order][edge]] = np.add.reduceat(q[row[order]] * x[order, None], edge)
+    omega = np.random.default_rng(seed).standard_normal((size + 8, slots))
+    q = np.linalg.qr(np.stack([np.bincount(row, o[slot] * x, int(first[-1])) for o in omega], 1))[0]
+    b = np.stack([np.bincount(slot, c[row] * x, slots) for c in q.T], 1)
     u = np.linalg.svd(b, full_matrices=False)[0][:, :size] * (idf * (df > 0))[:, None] * 100
     out = np.zeros((slots, size), np.float32)
     out[:, : u.shape[1]] = u
