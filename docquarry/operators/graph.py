@@ -15,10 +15,13 @@ from docquarry.errors import GraphError, LLMCallbackError, NodeNotFoundError, Qu
 from docquarry.functions.jsonrepair import parse_json
 from docquarry.operators import search, sparql
 from docquarry.operators.vectorizers import embed
+from docquarry.plans.transactions import changing
 
 IDENTIFIERS = ("identifying_value", "name", "title", "id", "identifier")
 DIRECTIONS = ("outgoing", "incoming", "any")
 FAN = 100
+#: Guidance may ask for no more hops than these.
+MOST_HOPS = 10
 
 
 def identifying_parts(properties: dict) -> tuple[str, object] | None:
@@ -51,17 +54,31 @@ def directed(relationships: DataFrame, direction: str = "any") -> DataFrame:
     return back if direction == "incoming" else out.unionByName(back.where("source_node_id <> target_node_id"))
 
 
-def expand(nodes: DataFrame, relationships: DataFrame, seeds: DataFrame, depth: int, types: list[str] | None = None, labels: list[str] | None = None, fan: int = FAN, cut=lambda df, what: df) -> tuple[DataFrame, DataFrame]:
+def specs_of(types) -> list[tuple[str | None, str]]:
+    """(type, direction) of relationships to pass: from types, or objects with type and direction; any if there are none."""
+    specs = []
+    for t in types or []:
+        kind, direction = (t.get("type"), t.get("direction") or "any") if isinstance(t, dict) else (t, "any") if isinstance(t, str) else t
+        if not isinstance(kind, str) or direction not in DIRECTIONS:
+            raise ValueError(f"not a relationship to pass: {t!r}")
+        specs.append((kind, direction))
+    return list(dict.fromkeys(specs)) or [(None, "any")]
+
+
+def expand(nodes: DataFrame, relationships: DataFrame, seeds: DataFrame, depth: int, types: list | None = None, labels: list[str] | None = None, fan: int = FAN, cut=lambda df, what: df) -> tuple[DataFrame, DataFrame]:
     """(node_id, depth) reached from seeds (node_id) in at most depth hops, and the relationships passed.
 
-    Breadth first, all nodes of a hop at once.  Each node passes at most fan relationships, those of lowest id.
+    Breadth first, all nodes of a hop at once.  types names relationships' types, or objects of type and
+    direction (specs_of); for each of these a node passes at most fan relationships, those of lowest id.
     A node whose label isn't wanted is left out, its relationship is kept; seeds are kept in any case.
     cut stores a frame between hops.
     """
-    e = directed(relationships)
-    if types:
-        e = e.where(F.col("relationship_type").isin(list(types)))
-    order = Window.partitionBy("at").orderBy("relationship_id")
+    e = None
+    for k, (kind, direction) in enumerate(specs_of(types)):
+        some = relationships if kind is None else relationships.where(F.col("relationship_type") == kind)
+        some = directed(some, direction).withColumn("spec", F.lit(k))
+        e = some if e is None else e.unionByName(some)
+    order = Window.partitionBy("at", "spec").orderBy("relationship_id")
     reached = cut(seeds.select("node_id").distinct().withColumn("depth", F.lit(0)), "reached")
     passed = None
     for hop in range(1, depth + 1):
@@ -83,10 +100,20 @@ def edge_label(properties: Column, kind: Column) -> Column:
     return F.coalesce(some("$.name"), some("$.label"), kind)
 
 
+def owners(links: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(node_id, doc_id) of the nodes that are linked to chunks of one document only."""
+    owned = links.join(chunks.select("chunk_id", "doc_id"), "chunk_id").groupBy("node_id").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other"))
+    return owned.where("doc_id = other").select("node_id", "doc_id")
+
+
 def exclusive_nodes(links: DataFrame, chunks: DataFrame, doc_id: int) -> DataFrame:
     """(node_id) of the nodes linked to chunks of that document and of no other."""
-    owned = links.join(chunks.select("chunk_id", "doc_id"), "chunk_id")
-    return owned.groupBy("node_id").agg(F.bool_and(F.col("doc_id") == doc_id).alias("own")).where("own").select("node_id")
+    return owners(links, chunks).where(F.col("doc_id") == doc_id).select("node_id")
+
+
+def holding(nodes: DataFrame, label: str, key: str, value: str) -> DataFrame:
+    """Nodes of that label whose property key has value in it, in whatever case."""
+    return nodes.where((F.col("node_label") == label) & F.contains(F.lower(F.get_json_object("node_properties", f"$.{key}")), F.lit(value.lower())))
 
 
 def default_prompt(text: str, ontology: dict | str | None) -> str:
@@ -220,14 +247,20 @@ class GraphStore:
         if not n:
             return 0
         found = st._staged(extract(todo, self._need(), self._ontology, self._prompt), "extracted")
-        self._fuse(found)
+        self._record(todo, found)
+        return n
+
+    @changing
+    def _record(self, todo: DataFrame, found: DataFrame) -> None:
+        """What was extracted, and that its chunks are done, in one change."""
+        st, frames = self._store, self._fuse(found)
         now = F.when(F.col("_x").isNotNull(), F.current_timestamp()).otherwise(F.col("graph_processed_at"))
         marks = todo.select("chunk_id", F.lit(True).alias("_x"))
-        st.change(replace={"chunks": st.table("chunks").join(marks, "chunk_id", "left").withColumn("graph_processed_at", now)})
-        return n
+        chunks = st.table("chunks").join(marks, "chunk_id", "left").withColumn("graph_processed_at", now)
+        st.change(replace={"chunks": chunks, "nodes": frames["nodes"], "links": frames["links"]}, append={"relationships": frames["relationships"]})
 
-    def _fuse(self, found: DataFrame) -> None:
-        """Nodes of one signature are one node; its properties are those of the last chunk.  Endpoints are found by value."""
+    def _fuse(self, found: DataFrame) -> dict[str, DataFrame]:
+        """The tables' new contents.  Nodes of one signature are one node; its properties are those of the last chunk.  Endpoints are found by value."""
         st = self._store
         seen = st._staged(extracted_nodes(found), "seen")
         latest = seen.groupBy("unique_signature").agg(F.max_by(F.struct("node_label", "node_properties"), F.struct("chunk_id", "position")).alias("n")).select("unique_signature", "n.*")
@@ -246,23 +279,27 @@ class GraphStore:
         side = lambda s, into: named.select(F.col("node_label").alias(f"{s}_label"), F.col("value").alias(f"{s}_value"), F.col("node_id").alias(into))
         edges = extracted_edges(found).join(side("s", "source_node_id"), ["s_label", "s_value"]).join(side("t", "target_node_id"), ["t_label", "t_value"])
         edges = st._numbered(edges, ["chunk_id", "position"], st.next_id("relationships", "relationship_id"), "relationship_id")
-        st.change(replace={"nodes": nodes, "links": links}, append={"relationships": edges})
+        return {"nodes": nodes, "links": links, "relationships": edges}
 
     # asking
 
-    def query_graph(self, text: str, output_mode: str = "chunks_summary", top_k_nodes: int = 5, max_depth: int = 2, target_relationships: list[str] | None = None, target_node_labels: list[str] | None = None) -> dict | list:
+    def query_graph(self, text: str, output_mode: str = "chunks_summary", top_k_nodes: int = 5, max_depth: int = 2, target_relationships: list | None = None, target_node_labels: list[str] | None = None) -> dict | list:
         """Seeds by vector search, then expansion.  output_mode: chunks_summary, graph_only or full."""
         if output_mode not in ("chunks_summary", "graph_only", "full"):
             raise ValueError(f"unknown output mode: {output_mode}")
         if self._llm is not None:
             try:
                 guide = parse_json(self._llm(f'How should the graph be searched for this question? Answer with JSON: {{"max_depth": ..., "target_relationships": [...], "target_node_labels": [...]}}\n{text}'))
-                max_depth, target_relationships, target_node_labels = int(guide.get("max_depth", max_depth)), guide.get("target_relationships") or target_relationships, guide.get("target_node_labels") or target_node_labels
+                deep, passed, labels = int(guide.get("max_depth", max_depth)), guide.get("target_relationships") or target_relationships, guide.get("target_node_labels") or target_node_labels
+                specs_of(passed)
+                if not all(isinstance(x, str) for x in labels or []):
+                    raise TypeError("labels are strings")
+                max_depth, target_relationships, target_node_labels = deep, passed, labels
             except Exception:  # noqa: BLE001  without guidance the defaults hold
                 pass
         vector = self._store.vectorize_text(text)[0].tolist()
         seeds = search.top_k(self._t("nodes").where("node_vector is not null"), vector, top_k_nodes, key="node_id", embedding="node_vector")
-        reached, passed = expand(self._t("nodes"), self._t("relationships"), seeds, max_depth, target_relationships, target_node_labels, cut=self._store._staged)
+        reached, passed = expand(self._t("nodes"), self._t("relationships"), seeds, min(max_depth, MOST_HOPS), target_relationships, target_node_labels, cut=self._store._staged)
         nodes = self._t("nodes").join(reached.select("node_id"), "node_id", "left_semi")
         graph = {"nodes": [self._node(r) for r in nodes.orderBy("node_id").collect()], "relationships": [self._edge(r) for r in passed.orderBy("relationship_id").collect()]}
         if output_mode == "graph_only":
@@ -289,6 +326,7 @@ class GraphStore:
 
     # nodes
 
+    @changing
     def add_node(self, label: str, properties: dict) -> int:
         """The node's id; one of that signature gets the new properties besides its own."""
         sig = signature(label, properties, "manual")
@@ -320,25 +358,30 @@ class GraphStore:
         return [self._node(r) for r in self._t("nodes").where(F.col("node_label") == label).orderBy("node_id").limit(limit).collect()]
 
     def find_similar_nodes_by_property(self, label: str, key: str, value: str, limit: int = 10) -> list[dict]:
-        holds = F.contains(F.lower(F.get_json_object("node_properties", f"$.{key}")), F.lit(value.lower()))
-        return [self._node(r) for r in self._t("nodes").where((F.col("node_label") == label) & holds).orderBy("node_id").limit(limit).collect()]
+        return [self._node(r) for r in holding(self._t("nodes"), label, key, value).orderBy("node_id").limit(limit).collect()]
 
+    @changing
     def update_node(self, node_id: int, label: str | None = None, properties: dict | None = None) -> None:
         """New properties replace the old ones, but other_identifiers stay."""
         old = self._get(node_id)
         kept = {k: v for k, v in old["properties"].items() if k == "other_identifiers"}
         self._rewrite(node_id, label or old["label"], old["properties"] if properties is None else kept | properties)
 
+    @changing
     def delete_node(self, node_id: int) -> None:
         self._get(node_id)
         self._remove(self._store.spark.createDataFrame([(node_id,)], "node_id long"))
 
     def _remove(self, gone: DataFrame) -> None:
+        self._store.change(replace=self._without(gone))
+
+    def _without(self, gone: DataFrame) -> dict[str, DataFrame]:
         r = self._t("relationships")
         for end in ("source_node_id", "target_node_id"):
             r = r.join(gone.select(F.col("node_id").alias(end)), end, "left_anti")
-        self._store.change(replace={"relationships": r} | {name: self._t(name).join(gone, "node_id", "left_anti") for name in ("nodes", "links")})
+        return {"relationships": r} | {name: self._t(name).join(gone, "node_id", "left_anti") for name in ("nodes", "links")}
 
+    @changing
     def merge_nodes(self, keep: int, drop: int) -> None:
         """Relationships and links of drop become those of keep."""
         self._get(keep), self._get(drop)
@@ -348,6 +391,7 @@ class GraphStore:
 
     # relationships
 
+    @changing
     def add_relationship(self, source: int, target: int, kind: str, properties: dict | None = None) -> int:
         if self._t("nodes").where(F.col("node_id").isin(source, target)).count() < len({source, target}):
             raise GraphError(f"node {source} or {target} doesn't exist")
@@ -359,6 +403,7 @@ class GraphStore:
         r = self._t("relationships").where(F.col("relationship_id") == relationship_id).first()
         return None if r is None else self._edge(r)
 
+    @changing
     def update_relationship(self, relationship_id: int, kind: str | None = None, properties: dict | None = None) -> None:
         old = self.get_relationship(relationship_id)
         if old is None:
@@ -367,6 +412,7 @@ class GraphStore:
         new = {"relationship_type": kind or old["type"], "relationship_properties": json.dumps(old["properties"] if properties is None else properties)}
         self._store.change(replace={"relationships": self._t("relationships").withColumns({c: F.when(mine, F.lit(v)).otherwise(F.col(c)) for c, v in new.items()})})
 
+    @changing
     def delete_relationship(self, relationship_id: int) -> None:
         if self.get_relationship(relationship_id) is None:
             raise RelationshipNotFoundError(f"there is no relationship {relationship_id}")
@@ -400,6 +446,7 @@ class GraphStore:
         r = self._t("relationships").withColumn("label", edge_label(F.col("relationship_properties"), F.col("relationship_type")))
         return [{"id": x["relationship_id"], "from": x["source_node_id"], "to": x["target_node_id"], "label": x["label"], "properties": json.loads(x["relationship_properties"] or "{}")} for x in r.orderBy("relationship_id").limit(limit).collect()]
 
+    @changing
     def clear_graph(self) -> None:
         chunks = self._t("chunks").withColumn("graph_processed_at", F.lit(None).cast("timestamp"))
         self._store.change(replace={"chunks": chunks} | {name: self._t(name).limit(0) for name in ("nodes", "relationships", "links")})
@@ -408,10 +455,11 @@ class GraphStore:
         self._store.properties["graph_features_enabled"] = False
         self.clear_graph()
 
+    @changing
     def remove_graph_elements_for_document(self, doc_id: int) -> None:
         """Nodes that only this document's chunks are linked to go; its chunks count as not processed."""
         gone = self._store._staged(exclusive_nodes(self._t("links"), self._t("chunks"), doc_id), "gone")
-        self._remove(gone)
+        frames = self._without(gone)
         stamp = F.when(F.col("doc_id") == doc_id, F.lit(None).cast("timestamp")).otherwise(F.col("graph_processed_at"))
         mine = self._t("chunks").where(F.col("doc_id") == doc_id).select("chunk_id")
-        self._store.change(replace={"chunks": self._t("chunks").withColumn("graph_processed_at", stamp), "links": self._t("links").join(mine, "chunk_id", "left_anti")})
+        self._store.change(replace=frames | {"chunks": self._t("chunks").withColumn("graph_processed_at", stamp), "links": frames["links"].join(mine, "chunk_id", "left_anti")})

@@ -8,8 +8,10 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docquarry.errors import PageNotFoundError
+from docquarry.plans.transactions import changing
 
 SCHEMA = "page_id long, doc_id long, parent_id long, title string, content string, level int, page_order int, metadata string"
 _HEADER = re.compile(r"(#+)\s+(.*)")
@@ -46,6 +48,11 @@ def markdown_pages(df: DataFrame, text: str = "text") -> DataFrame:
 _ARROW = pa.schema([("page_id", pa.int64()), ("doc_id", pa.int64()), ("parent_id", pa.int64()), ("title", pa.string()), ("content", pa.string()), ("level", pa.int32()), ("page_order", pa.int32()), ("metadata", pa.string())])
 
 
+def children(pages: DataFrame) -> DataFrame:
+    """pages below another one, with rank: their place among those of the same parent, by page_order, then page_id."""
+    return pages.where("parent_id is not null").withColumn("rank", F.row_number().over(Window.partitionBy("parent_id").orderBy("page_order", "page_id")))
+
+
 def breadcrumbs(pages: DataFrame) -> DataFrame:
     """(page_id, depth, ancestor_id, title): the pages from each page (depth 0) up to its root."""
     pages.select("page_id", "parent_id", "title").createOrReplaceTempView("_crumb_pages")
@@ -77,6 +84,7 @@ class PageIndex:
     def _pages(self) -> DataFrame:
         return self._store.table("pages")
 
+    @changing
     def add_page(self, doc_id: int, title: str, content: str = "", parent_id: int | None = None, page_order: int = 0, metadata: dict | None = None) -> int:
         level = 0 if parent_id is None else self.get_page(parent_id)["level"] + 1
         page_id = self._store.next_id("pages", "page_id")
@@ -91,7 +99,7 @@ class PageIndex:
         return row.asDict()
 
     def get_children(self, parent_id: int) -> list[dict]:
-        return [r.asDict() for r in self._pages().where(F.col("parent_id") == parent_id).orderBy("page_order", "page_id").collect()]
+        return [r.asDict() for r in children(self._pages().where(F.col("parent_id") == parent_id)).orderBy("rank").drop("rank").collect()]
 
     def get_breadcrumbs(self, page_id: int) -> list[tuple[int, str]]:
         up = breadcrumbs(self._pages()).where(F.col("page_id") == page_id).orderBy(F.desc("depth"))
@@ -105,6 +113,7 @@ class PageIndex:
                 by_id[r["parent_id"]]["children"].append(r)
         return [r for r in rows if r["parent_id"] == parent_id]
 
+    @changing
     def _import(self, pages: DataFrame) -> None:
         first = self._store.next_id("pages", "page_id")
         shift = F.lit(first)

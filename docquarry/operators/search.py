@@ -10,6 +10,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docquarry.errors import QuarryError
 from docquarry.functions import similarity as S
@@ -83,15 +84,21 @@ def _nearest(k: int):
     return run
 
 
-def hybrid(dense: DataFrame, keyword: DataFrame, alpha: float = 0.5, k: int = 5, key: str = "chunk_id") -> DataFrame:
-    """(key, score): alpha * dense + (1 - alpha) * keyword; a key on one side only counts 0 on the other."""
-    both = dense.select(key, (F.col("score") * alpha).alias("s")).unionByName(keyword.select(key, (F.col("score") * (1 - alpha)).alias("s")))
-    return both.groupBy(key).agg(F.sum("s").alias("score")).orderBy(F.desc("score"), F.desc(key)).limit(k)
+def best(scores: DataFrame, k: int, key: str, query: str) -> DataFrame:
+    """scores with rank, the k best of each query; scores equal to 6 digits are ordered by the higher key."""
+    order = Window.partitionBy(query).orderBy(F.desc(F.round("score", 6)), F.desc(key))
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def keyword_scores(weights: DataFrame, query_terms: DataFrame, key: str) -> DataFrame:
-    """(key, score): cosine of sparse unit vectors, (key, term, weight) against (term, query_weight); a join on term."""
-    return weights.join(query_terms, "term").groupBy(key).agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
+def hybrid(dense: DataFrame, keyword: DataFrame, alpha: float = 0.5, k: int = 5, key: str = "chunk_id", query: str = "query_id") -> DataFrame:
+    """(query, key, score, rank): alpha * dense + (1 - alpha) * keyword, the k best of each query; a key on one side only counts 0 on the other."""
+    both = dense.select(query, key, (F.col("score") * alpha).alias("s")).unionByName(keyword.select(query, key, (F.col("score") * (1 - alpha)).alias("s")))
+    return best(both.groupBy(query, key).agg(F.sum("s").alias("score")), k, key, query)
+
+
+def keyword_scores(weights: DataFrame, query_terms: DataFrame, key: str, query: str = "query_id") -> DataFrame:
+    """(query, key, score): cosines of sparse unit vectors, (key, term, weight) against (query, term, query_weight); a join on term."""
+    return weights.join(query_terms, "term").groupBy(query, key).agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
 
 
 def point_cloud(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:

@@ -169,14 +169,23 @@ def list_vectorizers() -> list[str]:
     return sorted(_FACTORIES)
 
 
+SECRETS = ("api_key", "token", "password", "secret")
+
+
+def public(config: dict | None) -> dict:
+    """The settings without those that nobody else should see."""
+    return {k: v for k, v in (config or {}).items() if not any(s in k.lower() for s in SECRETS)}
+
+
 def unique_name(name: str, config: dict | None = None) -> str:
-    name = _ALIASES.get(name, name)
+    """Names a vectorizer and its settings; a key or password is no part of it."""
+    name, config = _ALIASES.get(name, name), public(config)
     return name if not config else f"{name}:{json.dumps(config, sort_keys=True, separators=(',', ':'))}"
 
 
 def get_vectorizer(name: str, config: dict | None = None) -> Vectorizer:
     """One instance per name and settings; a TF-IDF model is a new one each time, as it is fitted."""
-    key, kind = unique_name(name, config), _ALIASES.get(name, name)
+    key, kind = unique_name(name, config) + json.dumps({k: v for k, v in (config or {}).items() if k not in public(config)}, sort_keys=True), _ALIASES.get(name, name)
     if key in _MADE:
         return _MADE[key]
     if kind not in _FACTORIES:

@@ -1,8 +1,10 @@
 """A store: documents, chunks, vectors, pages and a graph as Parquet tables under versioned manifests.
 
 Every change writes new table folders and then a manifest of the next number, which names the folders
-of each table.  A manifest is created only if there is none of its number: of two writers one fails
-with ConcurrencyError and leaves nothing visible.  Readers use the manifest they began with.
+of each table.  A writer claims that number by a file that only one can create, writes the manifest beside it and
+renames it, so a manifest is whole or not there.  An operation reads one manifest from its beginning to its end, and
+commits only on that one: if another writer came first, it begins again, for at most lock_timeout seconds, and then fails
+with ConcurrencyError, leaving nothing visible.  A claim without a manifest is removed after that time.
 """
 
 from __future__ import annotations
@@ -10,10 +12,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import shutil
 import tempfile
 import threading
+import time
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +30,8 @@ from docquarry.functions.clean import Cleaner, get_cleaner
 from docquarry.operators import search
 from docquarry.operators.pages import SCHEMA as PAGES
 from docquarry.operators.pages import PageIndex
-from docquarry.operators.vectorizers import TfIdfVectorizer, embed, get_vectorizer, unique_name
+from docquarry.operators.vectorizers import TfIdfVectorizer, embed, get_vectorizer, public, unique_name
+from docquarry.plans.transactions import changing
 from docquarry.sources import parsers
 
 SCHEMAS = {
@@ -48,23 +52,33 @@ def metadata_prefix(metadata: dict | None) -> str:
     return "--- Document Context ---\n" + "\n".join(f"{str(k).title()}: {v}" for k, v in metadata.items()) + f"\n{PREFIX_END}\n\n"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path that all executors share: in spark.checkpoint.dir; on one machine a temporary folder will do."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where:
+        return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ConfigurationError("a temporary store on a cluster needs spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix=f"{name}-")
+
+
 class Store:
     """A store at path; ':tempfile:' is a folder removed on close."""
 
     def __init__(
         self, spark: SparkSession, path: str = ":tempfile:", vectorizer: str = "hashing", vectorizer_config: dict | None = None, chunk_size: int = 384, chunk_overlap: int = 50, chunking_strategy: str = "token", tokenizer: dict | None = None,
-        text_cleaner: str | Cleaner | None = "basic", password: str | None = None, expand_before: int = 0, expand_after: int = 0, chunk_processor=None, name: str = "", description: str = "", metadata: dict | None = None,
+        text_cleaner: str | Cleaner | None = "basic", password: str | None = None, expand_before: int = 0, expand_after: int = 0, chunk_processor=None, name: str = "", description: str = "", metadata: dict | None = None, lock_timeout: float = 60,
     ):
         if chunking_strategy not in C.STRATEGIES:
             raise ValueError(f"unknown chunking strategy: {chunking_strategy!r}")
         self.spark, self._lock, self._temporary = spark, threading.RLock(), path == ":tempfile:"
-        self.path = tempfile.mkdtemp(prefix="docquarry-") if self._temporary else path
+        self.path, self.lock_timeout, self._pinned = shared_path(spark, "store") if self._temporary else path, lock_timeout, None
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.chunk_size, self.chunk_overlap, self.strategy, self.tokenizer = chunk_size, chunk_overlap, chunking_strategy, tokenizer
         self._clean, self._processor, self._expand = get_cleaner(text_cleaner), chunk_processor, {"expand_before": expand_before, "expand_after": expand_after}
         manifest = self._manifest()
-        info = {"unique_name": unique_name(vectorizer, vectorizer_config), "vectorizer_name": vectorizer, "vectorizer_config": vectorizer_config or {}}
+        info = {"unique_name": unique_name(vectorizer, vectorizer_config), "vectorizer_name": vectorizer, "vectorizer_config": public(vectorizer_config)}
         known = manifest["properties"]
         if known.get("vectorizer_info", info)["unique_name"] != info["unique_name"]:
             raise ConfigurationError(f"the store was made with vectorizer {known['vectorizer_info']['unique_name']}, not {info['unique_name']}")
@@ -100,23 +114,54 @@ class Store:
 
     def _commit(self, version: int, tables: dict) -> None:
         body = json.dumps({"version": version + 1, "tables": tables, "properties": self.properties})
+        claim, final = (self._p("manifests", f"{version + 1:012d}.{end}") for end in ("claim", "json"))
         try:
-            stream = self._fs.create(self._p("manifests", f"{version + 1:012d}.json"), False)
+            self._fs.create(claim, False).close()
         except Exception as e:
+            if not self._fs.exists(final) and self._fs.exists(claim) and time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > self.lock_timeout:
+                if self._fs.delete(claim, False):  # its writer died
+                    return self._commit(version, tables)
             raise ConcurrencyError(f"another writer changed {self.path}") from e
+        part = self._p("manifests", f"{version + 1:012d}.{uuid.uuid4().hex}")
+        stream = self._fs.create(part, False)
         stream.write(body.encode())
         stream.close()
+        if self._fs.exists(final) or not self._fs.rename(part, final):
+            raise ConcurrencyError(f"another writer changed {self.path}")
+
+    @contextmanager
+    def transaction(self):
+        """Within it the tables are those of one manifest, and changes are committed on that one only."""
+        with self._lock:
+            if self._pinned is not None:
+                yield
+                return
+            self._pinned = self._manifest()
+            try:
+                yield
+            finally:
+                self._pinned = None
+
+    def vacuum(self, older_than: float = 86_400) -> int:
+        """Removes table and staging folders that the newest manifest doesn't name and nobody wrote to for so many seconds; how many."""
+        used, gone, now = {f for folders in self._manifest()["tables"].values() for f in folders}, 0, time.time()
+        for kind in ("staging", *SCHEMAS):
+            if self._fs.exists(self._p(kind)):
+                for s in self._fs.listStatus(self._p(kind)):
+                    if f"{kind}/{s.getPath().getName()}" not in used and now - s.getModificationTime() / 1000 >= older_than:
+                        gone += self._fs.delete(s.getPath(), True)
+        return gone
 
     def table(self, name: str) -> DataFrame:
-        folders = self._manifest()["tables"].get(name, [])
+        folders = (self._pinned or self._manifest())["tables"].get(name, [])
         if not folders:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def change(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None) -> None:
-        """Replaces and appends to tables, all or nothing."""
-        with self._lock:
-            manifest = self._manifest()
+        """Replaces and appends to tables, all or nothing; frames made from the store's tables belong into one transaction with it."""
+        with self.transaction():
+            manifest = self._pinned
             tables = dict(manifest["tables"])
             for new, frames in ((True, replace or {}), (False, append or {})):
                 for name, df in frames.items():
@@ -125,6 +170,7 @@ class Store:
                     df.select(*columns).write.parquet(f"{self.path}/{folder}")
                     tables[name] = [folder] if new else [*tables.get(name, []), folder]
             self._commit(manifest["version"], tables)
+            self._pinned = manifest | {"version": manifest["version"] + 1, "tables": tables}
 
     def append(self, name: str, df: DataFrame) -> None:
         self.change(append={name: df})
@@ -137,6 +183,7 @@ class Store:
         for name in SCHEMAS:
             self.table(name).createOrReplaceTempView(prefix + name)
 
+    @changing
     def compact(self) -> None:
         """Each table in one folder of few files."""
         self.change(replace={name: self.table(name).coalesce(max(1, self.spark.sparkContext.defaultParallelism)) for name in self._manifest()["tables"]})
@@ -156,6 +203,7 @@ class Store:
 
     # ingest
 
+    @changing
     def ingest(self, incoming: DataFrame, force: bool = False, vectorize_with_metadata: bool = True, chunk_size: int | None = None, chunk_overlap: int | None = None, strategy: str | None = None, skip_chunking: bool = False) -> DataFrame:
         """Adds or updates documents: incoming has file_path and text, and may have file_hash, metadata (JSON) and tags.
 
@@ -307,7 +355,8 @@ class Store:
     def query(self, text: str, top_k: int = 5, min_similarity_percent: float = 0.0) -> list[dict]:
         vector = self.vectorize_text(text)[0]
         found = search.top_k(self.table("vectors"), vector.tolist(), top_k, min_similarity_percent)
-        rows = self.chunks().join(F.broadcast(found) if top_k > 0 else found, "chunk_id").orderBy(F.desc("similarity_score"), F.desc("chunk_id")).collect()
+        # at most 10,000 rows of 24 bytes are broadcast
+        rows = self.chunks().join(F.broadcast(found) if 0 < top_k <= 10_000 else found, "chunk_id").orderBy(F.desc("similarity_score"), F.desc("chunk_id")).collect()
         out = []
         for r in rows:
             meta = self._metadata(r["metadata"])
@@ -321,19 +370,23 @@ class Store:
         r = self.chunks().where(F.col("chunk_id") == chunk_id).first()
         return None if r is None else {"chunk_id": r["chunk_id"], "chunk_text": r["chunk_text"], "file_path": r["file_path"], "document_metadata": self._metadata(r["metadata"])}
 
-    def reconstruct(self) -> DataFrame:
-        """(file_path, text): each document's chunks joined by line ends, '' without chunks."""
+    def reconstruct(self, which: F.Column | None = None) -> DataFrame:
+        """(file_path, text): each document's chunks joined by line ends, '' without chunks; of all documents or some."""
+        documents = self.table("documents") if which is None else self.table("documents").where(which)
+        chunks = self.table("chunks") if which is None else self.table("chunks").join(documents, "doc_id", "left_semi")
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_seq", "chunk_text"))), lambda x: x["chunk_text"]), "\n")
-        joined = self.table("chunks").withColumn("chunk_text", self._open("chunk_text")).groupBy("doc_id").agg(text.alias("text"))
-        return self.table("documents").select("doc_id", "file_path").join(joined, "doc_id", "left").select("file_path", F.coalesce("text", F.lit("")).alias("text"))
+        joined = chunks.withColumn("chunk_text", self._open("chunk_text")).groupBy("doc_id").agg(text.alias("text"))
+        return documents.select("doc_id", "file_path").join(joined, "doc_id", "left").select("file_path", F.coalesce("text", F.lit("")).alias("text"))
 
     def reconstruct_document_text(self, file_path: str) -> str | None:
-        r = self.reconstruct().where(F.col("file_path") == file_path).first()
+        r = self.reconstruct(F.col("file_path") == file_path).first()
         return None if r is None else r["text"]
 
+    @changing
     def delete_document_by_id(self, doc_id: int) -> None:
         self._delete(self.table("documents").where(F.col("doc_id") == doc_id).select("doc_id"))
 
+    @changing
     def delete_document_by_path(self, file_path: str) -> None:
         self._delete(self.table("documents").where(F.col("file_path") == file_path).select("doc_id"))
 
@@ -372,8 +425,8 @@ class Store:
         return out.getvalue()
 
     def close(self) -> None:
-        if self._temporary:
-            shutil.rmtree(self.path, ignore_errors=True)
+        if self._temporary and self.spark.sparkContext._jsc is not None:
+            self._fs.delete(self._p(), True)
 
     def __enter__(self) -> Store:
         return self

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +12,7 @@ from pyspark.sql.window import Window
 from docquarry.functions import chunk, clean, security
 from docquarry.functions import similarity as S
 from docquarry.operators import graph, pages, search, sparql, vectorizers
-from docquarry.plans.store import metadata_prefix
+from docquarry.plans.store import Store, metadata_prefix
 from docquarry.sources import parsers
 
 
@@ -60,12 +63,31 @@ def text_hash(spark, d):
     return _read(spark, d, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("file_hash"))
 
 
+def _store(spark: SparkSession, size: int = 1000, overlap: int = 150) -> Store:
+    """An empty store of character chunks, removed when Python exits."""
+    st = Store(spark, chunking_strategy="character", chunk_size=size, chunk_overlap=overlap, text_cleaner=None, vectorizer="hashing", vectorizer_config={"dim": 32})
+    atexit.register(st.close)
+    return st
+
+
+def _files(spark, d) -> DataFrame:
+    return _read(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("file_path"), "text", F.array("lang", "source", "lang").alias("tags"))
+
+
 def change_detection(spark, d):
-    """Documents against a stored state that has the labelled ones, the toxic ones with another text."""
-    docs = _read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"))
-    stored = _read(spark, d, "labels").join(_read(spark, d, "documents"), "doc_id").select("doc_id", F.sha2(F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("old_hash"))
-    status = F.when(F.col("old_hash").isNull(), "new").when(F.col("old_hash") == F.col("file_hash"), "unchanged").otherwise("changed")
-    return docs.join(stored, "doc_id", "left").select("doc_id", status.alias("status"))
+    """Documents into a store that has the labelled ones, the toxic ones with another text."""
+    st, files = _store(spark), _files(spark, d)
+    other = F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    st.ingest(files.join(_read(spark, d, "labels"), "doc_id").select("file_path", other.alias("text")))
+    return st.ingest(files).select(F.col("file_path").cast("long").alias("doc_id"), "status")
+
+
+def store_ingest(spark, d):
+    """What a store says of the documents it takes in, and the chunks and vectors that it then has of them."""
+    st = _store(spark)
+    said = st.ingest(_files(spark, d))
+    has = st.table("chunks").join(st.table("vectors").select("chunk_id"), "chunk_id").groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    return said.join(st.table("documents"), "file_path").join(has, "doc_id").select(F.col("file_path").cast("long").alias("doc_id"), "status", "num_chunks_added", "num_chunks_ignored", "chunks")
 
 
 def chunk_character(spark, d):
@@ -82,15 +104,16 @@ def _strategy(name: str, size: int, overlap: int, **options):
 
 def reconstruct_text(spark, d):
     """Character chunks without overlap, joined by line ends in order."""
-    c = chunk.chunk(_read(spark, d, "documents").select("doc_id", "text"), "character", 500, 0)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_seq", "storage_text"))), lambda x: x["storage_text"]), "\n")
-    return c.groupBy("doc_id").agg(joined.alias("text"))
+    st = _store(spark, 500, 0)
+    st.ingest(_files(spark, d))
+    return st.reconstruct().select(F.col("file_path").cast("long").alias("doc_id"), "text")
 
 
 def tags(spark, d):
-    """Sorted distinct tags of each document (language, source, language), and those of source src1."""
-    t = _read(spark, d, "documents").select("doc_id", F.array_sort(F.array_distinct(F.array("lang", "source", "lang"))).alias("tags"))
-    return t.where(F.array_contains("tags", "src1")).select("doc_id", F.array_join("tags", ",").alias("tags"))
+    """Tags of stored chunks that have the tag src1, of documents with the tags language, source and language again."""
+    st = _store(spark)
+    st.ingest(_files(spark, d))
+    return st.chunks().where(F.array_contains("tags", "src1")).select(F.col("file_path").cast("long").alias("doc_id"), "chunk_seq", F.array_join("tags", ",").alias("tags"))
 
 
 def metadata_prefixed(spark, d):
@@ -119,19 +142,22 @@ def tfidf_weights(spark, d):
 def _keyword(spark, d):
     docs = _read(spark, d, "documents")
     model = vectorizers.document_frequencies(docs)
-    query = vectorizers.tfidf(_read(spark, d, "benchmark").where("item_id = 0"), "item_id", model=model).select("term", F.col("weight").alias("query_weight"))
-    return search.keyword_scores(vectorizers.tfidf(docs, "doc_id", model=model), query, "doc_id")
+    query = vectorizers.tfidf(_read(spark, d, "benchmark"), "item_id", model=model).select("item_id", "term", F.col("weight").alias("query_weight"))
+    return search.keyword_scores(vectorizers.tfidf(docs, "doc_id", model=model), query, "doc_id", "item_id")
 
 
 def keyword_search(spark, d):
-    return _keyword(spark, d).select("doc_id", F.round("score", 6).alias("score"))
+    """The 10 best documents for every benchmark text."""
+    return search.best(_keyword(spark, d), 10, "doc_id", "item_id").withColumn("score", F.round("score", 6))
 
 
 def hybrid_search(spark, d):
-    """Vector scores of the embeddings, and keyword scores of the documents, of the same id; half each."""
-    q = F.lit(_query_vector(spark, d))
-    dense = _read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), S.cosine(F.col("embedding"), q).alias("score"))
-    return search.hybrid(dense, _keyword(spark, d), 0.5, 10, "doc_id").withColumn("score", F.round("score", 6))
+    """For every benchmark text and the embedding of its id: vector scores of all embeddings and keyword scores of all documents, half each."""
+    e = _read(spark, d, "embeddings")
+    # the queries are the benchmark's rows, few beside the embeddings
+    q = e.join(_read(spark, d, "benchmark"), F.col("vec_id") == F.col("item_id")).select("item_id", F.col("embedding").alias("q"))
+    dense = e.join(q).select("item_id", F.col("vec_id").alias("doc_id"), S.cosine(F.col("embedding"), F.col("q")).alias("score"))
+    return search.hybrid(dense, _keyword(spark, d), 0.5, 10, "doc_id", "item_id").withColumn("score", F.round("score", 6))
 
 
 def html_text(spark, d):
@@ -162,14 +188,21 @@ def page_tree(spark, d):
 
 
 def page_children(spark, d):
-    p = _tree_pages(spark, d)
-    return p.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("children"), F.min_by("title", "page_order").alias("first_title"))
+    return pages.children(_tree_pages(spark, d)).select("parent_id", "rank", "page_id", "title")
+
+
+def store_pages(spark, d):
+    """Pages as a store keeps them."""
+    st = _store(spark)
+    none = lambda kind: F.lit(None).cast(kind)
+    st.pages._import(_tree_pages(spark, d).withColumns({"doc_id": F.expr("page_id div 1000"), "content": F.col("title"), "level": none("int"), "metadata": none("string")}))
+    return st.table("pages").select("page_id", "parent_id", "doc_id", "title", "page_order")
 
 
 def markdown_pages(spark, d):
-    """Documents as Markdown whose first line is a header, and their source a header below it."""
-    md = F.concat(F.lit("# "), F.regexp_extract("text", "^([^\n]*)", 1), F.lit("\n## "), F.col("source"), F.lit("\n"), F.col("lang"))
-    return pages.markdown_pages(_read(spark, d, "documents").select("doc_id", md.alias("text"))).select("doc_id", "page_id", "parent_id", "level", "content")
+    """Documents, whole, as Markdown below a header of their source, and a header of their language below that one, with the text again."""
+    md = F.concat(F.lit("preface\n# "), F.col("source"), F.lit("\n"), F.col("text"), F.lit("\n## "), F.col("lang"), F.lit("\n"), F.col("text"))
+    return pages.markdown_pages(_read(spark, d, "documents").select("doc_id", md.alias("text"))).select("doc_id", "page_id", "parent_id", "level", "title", "content")
 
 
 def _graph(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -198,28 +231,34 @@ def graph_neighbors(spark, d):
 
 
 def graph_expand(spark, d):
-    """Nodes within two hops of region 0, nations and suppliers only, at most 100 relationships a node."""
+    """Nodes within two hops of region 0, nations and suppliers only, into regions and either way between nations and
+    others, at most 100 relationships a node and kind."""
     n, e = _graph(spark, d)
     seeds = n.where("node_id = 0").select("node_id")
-    return graph.expand(n, e, seeds, 2, ["IN_REGION", "IN_NATION"], ["Nation", "Supplier"])[0]
+    return graph.expand(n, e, seeds, 2, [{"type": "IN_REGION", "direction": "incoming"}, "IN_NATION"], ["Nation", "Supplier"])[0]
 
 
 def graph_search(spark, d):
     n, _ = _graph(spark, d)
-    found = n.where((F.col("node_label") == "Customer") & F.contains(F.lower(F.get_json_object("node_properties", "$.segment")), F.lit("build")))
+    found = graph.holding(n, "Customer", "segment", "Build")
     return found.select("node_id", F.get_json_object("node_properties", "$.name").alias("name"))
 
 
 def graph_labels(spark, d):
+    """Relationships that have a name, a label with an empty name, or neither."""
     _, e = _graph(spark, d)
+    k = F.col("relationship_id")
+    named = F.when(k % 3 == 0, F.to_json(F.struct(F.concat(F.lit("n"), k).alias("name")))).when(k % 3 == 1, F.to_json(F.struct(F.lit("").alias("name"), F.concat(F.lit("l"), k).alias("label")))).otherwise("{}")
+    e = e.withColumn("relationship_properties", named)
     return e.select("relationship_id", graph.edge_label(F.col("relationship_properties"), F.col("relationship_type")).alias("label"))
 
 
 def graph_exclusive_nodes(spark, d):
     """Customers as documents, orders as chunks, statuses and priorities as nodes: nodes of one document's chunks only."""
-    o = _read(spark, d, "orders").select("o_orderkey", "o_custkey", F.concat("o_orderstatus", F.lit(":"), (F.col("o_orderkey") % 1000).cast("string")).alias("node"))
-    owned = o.groupBy("node").agg(F.count_distinct("o_custkey").alias("owners"), F.min("o_custkey").alias("owner"))
-    return owned.where("owners = 1").select("node", "owner")
+    o = _read(spark, d, "orders")
+    links = o.select(F.concat("o_orderstatus", F.lit(":"), (F.col("o_orderkey") % 1000).cast("string")).alias("node_id"), F.col("o_orderkey").alias("chunk_id"))
+    found = graph.owners(links, o.select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("doc_id")))
+    return found.select(F.col("node_id").alias("node"), F.col("doc_id").alias("owner"))
 
 
 def _sparql(text: str, form):
@@ -236,14 +275,14 @@ DESCRIBE = "DESCRIBE <Nation>"
 
 
 def node_signatures(spark, d):
-    sig = F.udf(lambda label, p: graph.signature(label, __import__("json").loads(p)), "string", useArrow=True)
+    sig = F.udf(lambda label, p: graph.signature(label, json.loads(p)), "string", useArrow=True)
     n, _ = _graph(spark, d)
     return n.select("node_id", sig("node_label", "node_properties").alias("unique_signature"))
 
 
 QUERIES = {
     "vector_topk": vector_topk, "vector_threshold": vector_threshold, "vector_topk_all": vector_topk_all, "similarity_by_label": cosine_pairs, "point_cloud": point_cloud, "point_cloud_centroids": point_cloud_centroids,
-    "text_clean": text_clean, "text_hash": text_hash, "change_detection": change_detection, "chunk_character": chunk_character, "chunk_token": _strategy("token", 384, 50), "chunk_paragraph": _strategy("paragraph", 200, 40),
+    "text_clean": text_clean, "text_hash": text_hash, "change_detection": change_detection, "store_ingest": store_ingest, "store_pages": store_pages, "chunk_character": chunk_character, "chunk_token": _strategy("token", 384, 50), "chunk_paragraph": _strategy("paragraph", 200, 40),
     "chunk_recursive": _strategy("recursive", 200, 0), "chunk_semantic": _strategy("semantic", 200, 0, vectorizer=vectorizers.HashingVectorizer(64)), "reconstruct_text": reconstruct_text, "tags": tags, "metadata_prefix": metadata_prefixed,
     "encryption_roundtrip": encryption_roundtrip, "tfidf_terms": tfidf_terms, "tfidf_weights": tfidf_weights, "keyword_search": keyword_search, "hybrid_search": hybrid_search, "html_text": html_text, "csv_rows": csv_rows,
     "page_breadcrumbs": page_breadcrumbs, "page_tree": page_tree, "page_children": page_children, "markdown_pages": markdown_pages, "graph_relationships": graph_relationships, "graph_neighbors": graph_neighbors, "graph_expand": graph_expand,
@@ -267,9 +306,11 @@ def _weights(name: str, table: str, key: str) -> str:
     )
 
 
-_KEYWORD = f"WITH {_MODEL}, {_weights('docs', 'documents', 'doc_id')}, {_weights('query', '(SELECT * FROM benchmark WHERE item_id = 0)', 'item_id')}, keyword AS (SELECT doc_id, sum(docs.weight * query.weight) AS score FROM docs JOIN query USING (term) GROUP BY doc_id)"
+_KEYWORD = f"WITH {_MODEL}, {_weights('docs', 'documents', 'doc_id')}, {_weights('query', 'benchmark', 'item_id')}, keyword AS (SELECT item_id, doc_id, sum(docs.weight * query.weight) AS score FROM docs JOIN query USING (term) GROUP BY ALL)"
+_BEST = "CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id DESC) AS INTEGER) AS rank"
 _PAGES = """p AS (SELECT conv_id * 1000 + turn AS page_id, CASE WHEN turn = min(turn) OVER w THEN NULL WHEN role = 'user' THEN conv_id * 1000 + min(turn) OVER w ELSE conv_id * 1000 + lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS parent_id,
   role || ' ' || turn AS title, CAST(turn AS INTEGER) AS page_order FROM conversations WINDOW w AS (PARTITION BY conv_id))"""
+_CHUNKED = "n AS (SELECT *, unnest(range(0, CAST(greatest(0, ceil((length(text) - {size}) / {step}.0)) AS BIGINT) + 1)) AS k FROM documents WHERE length(text) > 0)"
 _GRAPH = """nodes AS (
   SELECT CAST(r_regionkey AS BIGINT) * 10 AS node_id, 'Region' AS label, r_name AS name, '{"name":"' || r_name || '"}' AS props FROM region UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 10 + 1, 'Nation', n_name, '{"name":"' || n_name || '"}' FROM nation
   UNION ALL SELECT c_custkey * 10 + 2, 'Customer', c_name, '{"name":"' || c_name || '","segment":"' || c_mktsegment || '"}' FROM customer UNION ALL SELECT s_suppkey * 10 + 3, 'Supplier', s_name, '{"name":"' || s_name || '"}' FROM supplier),
@@ -292,26 +333,28 @@ SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\n{3,}', chr(10)
 SELECT doc_id, CAST(k AS INTEGER) AS chunk_seq, substring(text, k * 850 + 1, 1000) AS vector_text, substring(text, greatest(0, k * 850 - 20) + 1, least(length(text), k * 850 + 1020) - greatest(0, k * 850 - 20)) AS storage_text FROM n""",
     "reconstruct_text": """WITH n AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 500.0) AS BIGINT))) AS k FROM documents)
 SELECT doc_id, string_agg(substring(text, k * 500 + 1, 500), chr(10) ORDER BY k) AS text FROM n GROUP BY doc_id""",
-    "tags": "SELECT doc_id, array_to_string(list_sort([lang, source]), ',') AS tags FROM documents WHERE source = 'src1'",
+    "tags": f"WITH {_CHUNKED.format(step=850, size=1000)} SELECT doc_id, CAST(k AS INTEGER) AS chunk_seq, array_to_string(list_sort([lang, source]), ',') AS tags FROM n WHERE source = 'src1'",
+    "store_ingest": f"WITH {_CHUNKED.format(step=850, size=1000)} SELECT doc_id, 'new' AS status, count(*) AS num_chunks_added, CAST(0 AS BIGINT) AS num_chunks_ignored, count(*) AS chunks FROM n GROUP BY doc_id",
+    "store_pages": f"WITH {_PAGES} SELECT page_id + 1 AS page_id, parent_id + 1 AS parent_id, page_id // 1000 AS doc_id, title, page_order FROM p",
     "metadata_prefix": "SELECT DISTINCT lang, source, '--- Document Context ---' || chr(10) || 'Topic_Lang: ' || lang || chr(10) || 'Source: ' || source || chr(10) || '------------------------' || chr(10) || chr(10) AS prefix FROM documents",
     "encryption_roundtrip": f"SELECT doc_id, text, '{security.KEY_MISSING}' AS without_key, true AS wrong_key_fails FROM documents",
     "tfidf_terms": f"WITH {_MODEL} SELECT term, df, round(idf, 6) AS idf FROM model",
     "tfidf_weights": f"WITH {_MODEL.replace('documents', 'benchmark')}, {_weights('b', 'benchmark', 'item_id')} SELECT item_id, term, round(weight, 6) AS weight FROM b",
-    "keyword_search": _KEYWORD + " SELECT doc_id, round(score, 6) AS score FROM keyword",
-    "hybrid_search": _KEYWORD + f", q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), both_sides AS (SELECT vec_id AS doc_id, {_COS} * 0.5 AS s FROM embeddings e, q UNION ALL SELECT doc_id, score * 0.5 FROM keyword) SELECT doc_id, round(sum(s), 6) AS score FROM both_sides GROUP BY doc_id ORDER BY sum(s) DESC, doc_id DESC LIMIT 10",
+    "keyword_search": _KEYWORD + f" SELECT item_id, doc_id, round(score, 6) AS score, {_BEST} FROM keyword QUALIFY rank <= 10",
+    "hybrid_search": _KEYWORD + f", q AS (SELECT item_id, embedding FROM embeddings JOIN benchmark ON vec_id = item_id), both_sides AS (SELECT item_id, vec_id AS doc_id, {_COS} * 0.5 AS s FROM embeddings e, q UNION ALL SELECT item_id, doc_id, score * 0.5 FROM keyword), summed AS (SELECT item_id, doc_id, sum(s) AS score FROM both_sides GROUP BY ALL) SELECT item_id, doc_id, round(score, 6) AS score, {_BEST} FROM summed QUALIFY rank <= 10",
     "csv_rows": "SELECT n_nationkey, 'Row ' || row_number() OVER (ORDER BY n_nationkey) || ': n_nationkey=' || n_nationkey || ' | n_name=' || trim(n_name) || ' | n_regionkey=' || n_regionkey AS line FROM nation",
     "page_breadcrumbs": f"WITH RECURSIVE {_PAGES}, up AS (SELECT page_id, page_id AS ancestor_id, 0 AS depth, title, parent_id FROM p UNION ALL SELECT up.page_id, p.page_id, up.depth + 1, p.title, p.parent_id FROM up JOIN p ON p.page_id = up.parent_id) SELECT page_id, depth, ancestor_id, title FROM up",
     "page_tree": f"WITH RECURSIVE {_PAGES}, down AS (SELECT page_id, 0 AS depth, CAST(page_order AS VARCHAR) AS path FROM p WHERE parent_id IS NULL UNION ALL SELECT p.page_id, depth + 1, path || '/' || p.page_order FROM down JOIN p ON p.parent_id = down.page_id) SELECT page_id, depth, path FROM down",
-    "page_children": f"WITH {_PAGES} SELECT parent_id, count(*) AS children, arg_min(title, page_order) AS first_title FROM p WHERE parent_id IS NOT NULL GROUP BY parent_id",
-    "markdown_pages": "SELECT doc_id, CAST(0 AS BIGINT) AS page_id, CAST(NULL AS BIGINT) AS parent_id, 0 AS level, '' AS content FROM documents UNION ALL SELECT doc_id, 1, 0, 1, lang || chr(10) FROM documents",
+    "page_children": f"WITH {_PAGES} SELECT parent_id, CAST(row_number() OVER (PARTITION BY parent_id ORDER BY page_order, page_id) AS INTEGER) AS rank, page_id, title FROM p WHERE parent_id IS NOT NULL",
+    "markdown_pages": "SELECT doc_id, CAST(0 AS BIGINT) AS page_id, CAST(NULL AS BIGINT) AS parent_id, 0 AS level, source AS title, text || chr(10) AS content FROM documents UNION ALL SELECT doc_id, 1, 0, 1, lang, text || chr(10) FROM documents",
     "graph_relationships": f"WITH {_GRAPH} SELECT id AS relationship_id, s AS source_node_id, t AS target_node_id, kind AS relationship_type, s_label, t_label FROM full_edges WHERE t_label = 'Nation'",
     "graph_neighbors": f"WITH {_GRAPH} SELECT node_id, count(DISTINCT b) AS neighbors FROM (SELECT s AS node_id, t AS b FROM edges UNION ALL SELECT t, s FROM edges) GROUP BY node_id",
-    "graph_expand": f"""WITH {_GRAPH}, d AS (SELECT id, s AS a, t AS b FROM edges UNION ALL SELECT id, t, s FROM edges), f AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY id) AS n FROM d QUALIFY n <= 100),
+    "graph_expand": f"""WITH {_GRAPH}, d AS (SELECT id, kind, s AS a, t AS b FROM edges WHERE kind = 'IN_NATION' UNION ALL SELECT id, kind, t, s FROM edges), f AS (SELECT *, row_number() OVER (PARTITION BY a, kind ORDER BY id) AS n FROM d QUALIFY n <= 100),
 one AS (SELECT DISTINCT b AS node_id FROM f JOIN nodes ON node_id = b WHERE a = 0 AND label IN ('Nation', 'Supplier')),
 two AS (SELECT DISTINCT b AS node_id FROM f JOIN one ON a = one.node_id JOIN nodes ON nodes.node_id = b WHERE label IN ('Nation', 'Supplier') AND b <> 0 AND b NOT IN (SELECT node_id FROM one))
 SELECT CAST(0 AS BIGINT) AS node_id, 0 AS depth UNION ALL SELECT node_id, 1 FROM one UNION ALL SELECT node_id, 2 FROM two""",
     "graph_search": f"WITH {_GRAPH} SELECT node_id, name FROM nodes JOIN customer ON c_custkey * 10 + 2 = node_id WHERE label = 'Customer' AND c_mktsegment ILIKE '%build%'",
-    "graph_edge_labels": f"WITH {_GRAPH} SELECT id AS relationship_id, kind AS label FROM edges",
+    "graph_edge_labels": f"WITH {_GRAPH} SELECT id AS relationship_id, CASE id % 3 WHEN 0 THEN 'n' || id WHEN 1 THEN 'l' || id ELSE kind END AS label FROM edges",
     "graph_exclusive_nodes": "SELECT o_orderstatus || ':' || (o_orderkey % 1000) AS node, min(o_custkey) AS owner FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey) = 1",
     "sparql_select": f"WITH {_GRAPH} SELECT DISTINCT a.s_label AS who, a.t_label AS nation, a.s AS n_who, a.t AS n_nation FROM full_edges a JOIN full_edges b ON b.s = a.t WHERE a.kind = 'IN_NATION' AND b.kind = 'IN_REGION' AND b.t_props ILIKE '%asia%'",
     "sparql_construct": f"WITH {_GRAPH}, m AS (SELECT a.s_label AS x, a.kind AS p, a.t_label AS y, b.s_label AS x2, b.kind AS p2, b.t_label AS y2 FROM full_edges a JOIN full_edges b ON b.s = a.t WHERE a.kind = 'IN_NATION' AND b.kind = 'IN_REGION') SELECT x AS subject, p AS predicate, y AS object FROM m UNION SELECT x2, p2, y2 FROM m",

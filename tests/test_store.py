@@ -228,3 +228,65 @@ def test_top_k_many_equals_brute_force(spark):
     for q in range(60):
         assert [got[q][k] for k in (1, 2, 3)] == sorted(range(60), key=lambda k: (-s[q, k], -k))[:3]
     assert search.top_k(df, m[0].tolist(), 0, 0, key="vec_id").where(F.col("vec_id") == 0).first().similarity_percent == 100
+
+
+def test_a_commit_between_reading_and_writing_is_not_lost(spark, tmp_path):
+    path = str(tmp_path / "s")
+    st, other = Store(spark, path), Store(spark, path)
+    st.add_text("a", "the first text")
+    raced = []
+
+    def slow(text, metadata):
+        return text
+
+    numbered = st._numbered
+
+    def late(*args):
+        if not raced:  # another writer commits after this one has read its tables
+            raced.append(other.add_text("b", "a text of another writer"))
+        return numbered(*args)
+
+    st._numbered = late
+    st.add_text("c", "a text that comes late")
+    assert {d["file_path"] for d in st.list_documents()} == {"a", "b", "c"} and raced
+    ids = [r.doc_id for r in st.table("documents").collect()]
+    assert len(ids) == len(set(ids)) and st.table("chunks").select("chunk_id").distinct().count() == st.table("vectors").count() == 3
+    with st.transaction():
+        stale = st.table("documents")
+        other.add_text("d", "meanwhile")
+        with pytest.raises(ConcurrencyError):
+            st.change(replace={"documents": stale})
+    assert len(st.list_documents()) == 4
+    assert st.vacuum(0) > 0 and len(st.list_documents()) == 4 and st.vacuum(0) == 0
+
+
+def test_claims_of_dead_writers_go(spark, tmp_path):
+    st = Store(spark, str(tmp_path / "s"), lock_timeout=0.5)
+    n = st._manifest()["version"]
+    open(tmp_path / "s" / "manifests" / f"{n + 1:012d}.claim", "w").close()
+    assert st.table("documents").count() == 0  # readers don't mind
+    import time
+
+    time.sleep(1)
+    st.lock_timeout = 0.9
+    assert st.add_text("a", "text after a crash")["num_chunks_added"] == 1
+
+
+def test_secrets_are_not_stored(spark, tmp_path):
+    from docquarry.operators.vectorizers import unique_name
+
+    assert unique_name("openai", {"model": "m", "api_key": "one"}) == unique_name("openai", {"model": "m", "api_key": "two"})
+    Store(spark, str(tmp_path / "s"), vectorizer="hashing", vectorizer_config={"dim": 16}).close()
+    assert not any("api_key" in p.read_text() for p in (tmp_path / "s" / "manifests").glob("*.json"))
+
+
+def test_relationships_are_passed_by_type_and_direction(spark):
+    nodes = spark.createDataFrame([(k, "A", "{}") for k in range(1, 7)], "node_id long, node_label string, node_properties string")
+    rel = spark.createDataFrame([(k, a, b, t, "{}") for k, (a, b, t) in enumerate([(1, 2, "R"), (3, 1, "R"), (1, 4, "S"), (5, 1, "S"), (1, 6, "T")])], "relationship_id long, source_node_id long, target_node_id long, relationship_type string, relationship_properties string")
+    seeds = nodes.where("node_id = 1").select("node_id")
+    reach = lambda *specs, **kw: {r.node_id for r in graph.expand(nodes, rel, seeds, 1, list(specs), **kw)[0].collect()} - {1}
+    assert reach({"type": "R", "direction": "outgoing"}, {"type": "S", "direction": "incoming"}) == {2, 5}
+    assert reach("R", {"type": "T", "direction": "incoming"}) == {2, 3} and reach() == {2, 3, 4, 5, 6}
+    assert reach("R", "S", fan=1) == {2, 4}  # one of each kind
+    with pytest.raises(ValueError):
+        reach({"type": "R", "direction": "sideways"})
