@@ -162,6 +162,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one set here if that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         where = f"file:///tmp/docquarry-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

@@ -6,7 +6,7 @@ files and settings).  Counting a corpus:
 1. One pass digests the normalised texts (NFC, line ends as LF); the row ids and 16-byte digests are written.
 2. The distinct digests are joined to those stored for this tokenizer version; the rest are the misses.
 3. A second pass carries the texts of misses, compressed, to one place per digest, where each is encoded
-   once, whole; the counts are appended to the cache.
+   once, whole; the counts are appended to the cache.  Without a miss there is no second pass.
 4. The row ids are joined to the stored counts.
 
 The append is one committed job: a run that dies before it leaves the cache as it was, one that is repeated finds
@@ -72,14 +72,19 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if t is None else _digest(t) for t in column], pa.binary())], names=["doc_id", "digest"])
 
 
-def _packed(batches):
-    pack = zstandard.ZstdCompressor(3).compress
-    for batch in batches:
-        seen: dict[bytes, bytes] = {}
-        for t in batch.column("text").to_pylist():
-            if t is not None and (d := _digest(t)) not in seen:
-                seen[d] = pack(normalise(t).encode())
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], names=["digest", "packed"])
+def _packed(wanted=None):
+    """Digests and compressed texts, of the wanted digests (a broadcast set) only if they are known."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            seen: dict[bytes, bytes] = {}
+            for t in batch.column("text").to_pylist():
+                if t is not None and (d := _digest(t)) not in seen and (wanted is None or d in wanted.value):
+                    seen[d] = pack(normalise(t).encode())
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], names=["digest", "packed"])
+
+    return run
 
 
 def _encode(vocabulary: str):
@@ -116,14 +121,16 @@ def count(documents: DataFrame, cache: str, vocabulary: str = VOCABULARY) -> Dat
     keyed = blocks.written(docs.mapInArrow(_digests, "doc_id long, digest binary"), "digests")
     missing = keyed.where("digest is not null").select("digest").distinct().join(stored(spark, cache, version), "digest", "left_anti")
     missing = blocks.written(missing, "missing")
-    texts = docs.mapInArrow(_packed, "digest binary, packed binary")
-    # few misses thin out the texts before they move; many meet them where a digest's rows come together
-    if missing.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        texts = texts.join(F.broadcast(missing), "digest", "left_semi").repartition("digest")
-    else:
-        texts = texts.repartition("digest").join(missing.hint("merge"), "digest", "left_semi")
-    fresh = texts.mapInArrow(_encode(vocabulary), "digest binary, tokens long")
-    fresh.select("digest", F.lit(version).alias("tokenizer"), "tokens").write.mode("append").parquet(cache)
+    few = missing.limit(MOST_BROADCAST + 1).count()
+    if few:
+        # few misses thin out the texts before they are packed; many meet them where a digest's rows come together
+        if few <= MOST_BROADCAST:
+            wanted = spark.sparkContext.broadcast({bytes(r["digest"]) for r in missing.toLocalIterator()})
+            texts = docs.mapInArrow(_packed(wanted), "digest binary, packed binary").repartition("digest")
+        else:
+            texts = docs.mapInArrow(_packed(), "digest binary, packed binary").repartition("digest").join(missing.hint("merge"), "digest", "left_semi")
+        fresh = texts.mapInArrow(_encode(vocabulary), "digest binary, tokens long")
+        fresh.select("digest", F.lit(version).alias("tokenizer"), "tokens").write.mode("append").parquet(cache)
     found = keyed.join(stored(spark, cache, version), "digest", "left").join(missing.withColumn("missed", F.lit(True)), "digest", "left")
     return found.select("doc_id", F.lower(F.hex("digest")).alias("digest"), F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.col("missed").isNull() & F.col("digest").isNotNull()).alias("cached"))
 

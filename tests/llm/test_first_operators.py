@@ -330,3 +330,41 @@ def test_spans_are_in_characters_and_rows_repeat(spark):
     for r in rows:
         assert [text[s.start : s.end] for s in r.spans] == ["ann.lee@example.com"] * 2 and r.text == "é ü 漢字 write to [EMAIL], now [EMAIL]"
     assert pii.redact(df).columns == df.columns and pii.report(df.limit(0)).count() == 0
+
+
+STAGES = {name: stage for name, stage in corpus_pipeline.STAGES}
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_stage_of_odd_rows(spark, tmp_path, name):
+    rng = random.Random(21)
+    good = [prose(rng, 80) for _ in range(40)]
+    item = prose(rng, 30)
+    texts = [*good, None, "", " \n ", prose(rng, 9000), good[0], prose(rng, 50) + " " + item + " " + prose(rng, 50), "write to ann.lee@example.com " + prose(rng, 60)]
+    columns = "doc_id long, text string, source string, n_chars int, id string, links string, slot string, item_id string, tokens string"
+    rows = [(k, t, f"s{k % 3}" if k % 5 else None, None if t is None else len(t), "i", "l", "s", "m", "t") for k, t in enumerate(texts)]
+    rows += [(None, prose(rng, 70), "s1", 7, None, None, None, None, None), rows[5], (6, None, None, None, None, None, None, None, None)]
+    spark.createDataFrame([(k, 1, 0) for k in range(20)] + [(20, 0, 1), (21, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item), (1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame(rows, columns)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = STAGES[name](spark, df, str(tmp_path))
+    got, empty = out.collect(), STAGES[name](spark, df.limit(0), str(tmp_path))
+    assert empty.count() == 0 and empty.columns == out.columns
+    if name.startswith("mixing"):
+        assert {r.doc_id for r in got} == {r[0] for r in rows if (r[1] or "").strip()}
+        return
+    assert out.schema.names == df.schema.names
+    kept = [r.doc_id for r in got]
+    blank = {40, 41, 42}
+    if name == "quality classifier":
+        assert not blank & set(kept) and kept.count(5) in (0, 2) and all(r.text for r in got)
+    if name == "n-gram Jaccard join":
+        assert sorted(kept, key=str) == sorted((r[0] for r in rows if r[0] != 44), key=str)
+    if name == "benchmark decontamination":
+        assert sorted(kept, key=str) == sorted((r[0] for r in rows if r[0] != 45), key=str)
+    if name == "PII":
+        new = {r.doc_id: r for r in got}
+        assert len(got) == len(rows) and new[46].text.startswith("write to [EMAIL]") and new[46].n_chars == len(new[46].text) and new[40].text is None and new[41].text == ""
+        assert all(r.text == (texts[r.doc_id] if r.doc_id is not None and r.doc_id != 6 else r.text) for r in got if r.doc_id != 46)

@@ -65,6 +65,10 @@ def test_token_counts_use_and_fill_the_cache(spark):
     assert {k: r.tokens for k, r in second.items() if k != 99} == want
     assert all(r.cached == (k not in (4, 99)) for k, r in second.items())
     assert spark.read.parquet(cache).count() == len({r.digest for r in second.values() if r.digest})
+    files = len(spark.read.parquet(cache).inputFiles())
+    third = token_counts.count(more.withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id"))), cache).collect()
+    assert all(r.cached == (r.digest is not None) for r in third) and sum(r.doc_id is None for r in third) == 1
+    assert len(spark.read.parquet(cache).inputFiles()) == files  # nothing is appended without a miss
     assert token_counts.count(docs.limit(0), blocks.scratch(spark, "empty-cache")).count() == 0
 
 
