@@ -1,9 +1,10 @@
 """Operator 3, license scans: sparse TF-IDF cosine to templates, then inheritance by path.
 
-1. Terms are the templates' words.  A pass counts, over all documents, how many have each; a term weighs
-   ln((1 + documents) / (1 + documents with it)) + 1.  Words that no template has weigh 1, each apart.
+1. Terms are the templates' words.  A pass counts, over all documents, how many have each; a term that occurs n times weighs
+   (1 + ln n) (ln((1 + documents) / (1 + documents with it)) + 1).  Words that no template has weigh 1, each apart.
 2. Headers: each sentence or line of a text, and each two neighbouring ones, is compared with the header
-   templates (cosine HEADER_COSINE).  Licence files: a whole text is compared with the licence texts (cosine FILE_COSINE);
+   templates (cosine HEADER_COSINE).  Licence files: a whole text is compared with the notices of TEXTS and the whole licence texts, which are
+   kept as term counts (licence_terms; not for AGPL, EPL and CC BY) (cosine FILE_COSINE);
    one named LICENSE, COPYING, NOTICE or the like also counts as a licence file by its best header.
 3. For each template a few heaviest terms are such that without any of them the cosine stays below the
    threshold (by Cauchy-Schwarz); a text without any such term leaves the scan early.  That drops nothing.
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import blocks
+from docquarry.llm.licence_terms import TERMS
 
 HEADER_COSINE = 0.8
 FILE_COSINE = 0.8
@@ -59,7 +61,9 @@ def terms(text: str) -> list[str]:
     return _WORD.findall(text.translate(_LOWER))
 
 
-VOCABULARY = sorted({t for _, text in HEADERS + TEXTS for t in terms(text)})
+HEADER_COUNTS = [(k, dict(Counter(terms(text)))) for k, text in HEADERS]
+FILE_COUNTS = [(k, dict(Counter(terms(text)))) for k, text in TEXTS] + list(TERMS.items())
+VOCABULARY = sorted({t for _, counts in HEADER_COUNTS + FILE_COUNTS for t in counts})
 
 
 def idf_of(documents: DataFrame) -> dict[str, float]:
@@ -78,12 +82,12 @@ def _words():
 class Index:
     """Unit vectors of templates, an inverted index, and the terms without which no template is reached."""
 
-    def __init__(self, templates: list[tuple[str, str]], idf: dict[str, float], least: float):
+    def __init__(self, templates: list[tuple[str, dict[str, int]]], idf: dict[str, float], least: float):
         self.idf, self.least, self.names = idf, least, [k for k, _ in templates]
         self.postings: dict[str, list[tuple[int, float]]] = {}
         self.anchors: set[str] = set()
-        for at, (_, text) in enumerate(templates):
-            v = {t: n * idf[t] for t, n in Counter(terms(text)).items()}
+        for at, (_, counts) in enumerate(templates):
+            v = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             rest = 1.0
             for t, x in sorted(v.items(), key=lambda y: (-y[1], y[0])):
@@ -97,11 +101,12 @@ class Index:
         if self.anchors.isdisjoint(words):
             return None
         tf = Counter(w for w in words if w in self.idf)
-        norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in tf.items()) + len(words) - tf.total())
+        weight = {t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items()}
+        norm = math.sqrt(sum(w * w for w in weight.values()) + len(words) - tf.total())
         dot: dict[int, float] = {}
-        for t, n in tf.items():
+        for t, w in weight.items():
             for at, x in self.postings.get(t, ()):
-                dot[at] = dot.get(at, 0.0) + n * self.idf[t] * x
+                dot[at] = dot.get(at, 0.0) + w * x
         found = [(-math.floor(d / norm * 1e4 + 0.5) / 1e4, self.names[at]) for at, d in dot.items()]
         score, name = min(found, default=(0.0, ""))
         return (-score, name) if -score >= self.least else None
@@ -126,7 +131,7 @@ def scan(documents: DataFrame) -> DataFrame:
     """(doc_id, path, dir, how, licence, cosine): each document's own licence, how being file or header, or nulls."""
     given = F.col("path").cast("string") if "path" in documents.columns else F.concat(F.coalesce(F.col("source").cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     idf = idf_of(documents)
-    headers, texts = Index(HEADERS, idf, HEADER_COSINE), Index(TEXTS, idf, FILE_COSINE)
+    headers, texts = Index(HEADER_COUNTS, idf, HEADER_COSINE), Index(FILE_COUNTS, idf, FILE_COSINE)
     shared = documents.sparkSession.sparkContext.broadcast((headers, texts))
     near = F.arrays_overlap(_words(), F.lit(sorted(headers.anchors | texts.anchors)))
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(given, F.lit("")).alias("path"), F.when(near, F.col("text")).alias("text"))
@@ -166,27 +171,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _rows(templates: list[tuple[str, str]], kind: str) -> str:
-    counted = [(k, f"{kind}{at}", t, n) for at, (k, text) in enumerate(templates) for t, n in Counter(terms(text)).items()]
+def _rows(templates: list[tuple[str, dict[str, int]]], kind: str) -> str:
+    counted = [(k, f"{kind}{at}", t, n) for at, (k, counts) in enumerate(templates) for t, n in counts.items()]
     return ", ".join(f"('{kind}', '{k}', '{i}', '{t}', {n})" for k, i, t, n in counted)
 
 
 # a path made of source and doc_id never names a licence file
 SQL = f"""
-WITH tpl(kind, licence, id, term, n) AS (VALUES {_rows(HEADERS, "header")}, {_rows(TEXTS, "file")}),
+WITH tpl(kind, licence, id, term, n) AS (VALUES {_rows(HEADER_COUNTS, "header")}, {_rows(FILE_COUNTS, "file")}),
 docs AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, coalesce(source, '') AS dir, coalesce(text, '') AS text FROM documents),
 low AS (SELECT r, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM docs),
 vocab AS (SELECT DISTINCT term FROM tpl),
 df AS (SELECT term, count(DISTINCT r) AS df FROM (SELECT r, unnest(list_distinct(regexp_extract_all(text, '{WORD}'))) AS term FROM low) JOIN vocab USING (term) GROUP BY term),
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM docs)) / (1 + coalesce(df, 0))) + 1 AS idf FROM vocab LEFT JOIN df USING (term)),
-tw AS (SELECT kind, licence, id, term, n * idf AS w FROM tpl JOIN idf USING (term)),
+tw AS (SELECT kind, licence, id, term, (1 + ln(n)) * idf AS w FROM tpl JOIN idf USING (term)),
 tn AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS x FROM tw),
 seg AS (SELECT r, string_split(regexp_replace(text, '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS s FROM low),
 units AS (SELECT r, s, unnest(range(1, len(s) + 1)) AS i FROM seg),
 u AS (SELECT 'header' AS kind, r, s[i] AS text FROM units UNION ALL SELECT 'header', r, s[i] || ' ' || s[i + 1] FROM units WHERE i < len(s) UNION ALL SELECT 'file', r, text FROM low),
 un AS (SELECT row_number() OVER () AS k, kind, r, regexp_extract_all(text, '{WORD}') AS words FROM u),
 ut AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(words) AS term FROM un) GROUP BY ALL),
-uw AS (SELECT k, term, tf, tf * idf AS w FROM ut JOIN idf USING (term)),
+uw AS (SELECT k, term, tf, (1 + ln(tf)) * idf AS w FROM ut JOIN idf USING (term)),
 norm AS (SELECT k, sqrt(sum(w * w) + any_value(len(words)) - sum(tf)) AS norm FROM uw JOIN un USING (k) GROUP BY k),
 cosine AS (SELECT un.kind, r, k, id, any_value(licence) AS licence, floor(sum(uw.w * tn.x) / any_value(norm) * 1e4 + 0.5) / 1e4 AS cosine
   FROM uw JOIN un USING (k) JOIN norm USING (k) JOIN tn ON tn.term = uw.term AND tn.kind = un.kind GROUP BY un.kind, r, k, id),

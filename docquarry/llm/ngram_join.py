@@ -568,3 +568,19 @@ def keep_one(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFram
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_UPPER = "".join(map(chr, [*range(65, 91), *(c for c in range(0xC0, 0xDF) if c != 0xD7)]))
+_LOWER = "".join(chr(ord(c) + 32) for c in _UPPER)
+#: For one row per doc_id: the query's words, their N-grams, all similar pairs, and the pairs' transitive closure.
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {N} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i + {N - 1}], ' '))) END AS g FROM w),
+t AS (SELECT doc_id, len(g) AS n, unnest(g) AS token FROM g),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same, any_value(a.n) AS m, any_value(b.n) AS n FROM t a JOIN t b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL),
+p AS (SELECT a, b FROM o WHERE same / CAST(m + n - same AS DOUBLE) >= {THRESHOLD} - 1e-9),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, least(doc_id, coalesce(lowest, doc_id)) AS class_id, coalesce(links, 0) AS links
+FROM w LEFT JOIN (SELECT a AS doc_id, min(b) AS lowest FROM r GROUP BY a) USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS links FROM e GROUP BY a) USING (doc_id)
+"""

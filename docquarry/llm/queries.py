@@ -19,6 +19,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_ngram_join": ngram_join.SQL,
     "op3_license_scans": licenses.SQL,
     "op5_mixing": mixing.SQL,
     "op8_chat_formatting": chat.SQL,

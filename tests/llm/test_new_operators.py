@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -153,8 +154,8 @@ def test_licences_are_found_and_inherited(spark):
 def test_anchors_drop_nothing(spark):
     rng = random.Random(7)
     idf = {t: rng.uniform(1, 9) for t in licenses.VOCABULARY}
-    index = licenses.Index(licenses.HEADERS, idf, licenses.HEADER_COSINE)
-    free = licenses.Index(licenses.HEADERS, idf, licenses.HEADER_COSINE)
+    index = licenses.Index(licenses.HEADER_COUNTS, idf, licenses.HEADER_COSINE)
+    free = licenses.Index(licenses.HEADER_COUNTS, idf, licenses.HEADER_COSINE)
     free.anchors = set(licenses.VOCABULARY)
     hits = 0
     for _ in range(3000):
@@ -163,3 +164,25 @@ def test_anchors_drop_nothing(spark):
         assert index.best(words) == free.best(words)
         hits += index.best(words) is not None
     assert hits > 300
+
+
+COMMON = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not COMMON.exists(), reason="no licence texts here")
+@pytest.mark.parametrize("documents", [10, 100_000])
+def test_whole_licence_files_are_told_apart(documents):
+    idf = {t: np.log((1 + documents) / (1 + (documents // 2 if t in ("the", "of", "to", "and", "a", "in", "or", "that") else 1))) + 1 for t in licenses.VOCABULARY}
+    texts, headers = licenses.Index(licenses.FILE_COUNTS, idf, licenses.FILE_COSINE), licenses.Index(licenses.HEADER_COUNTS, idf, licenses.HEADER_COSINE)
+    for file, name in {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}.items():
+        text = (COMMON / file).read_text()
+        for whole in (text, "Copyright 2019 Ann Lee and others\n\n" + text, text.upper(), "\n".join(text.splitlines()[:-10])):
+            how, licence, cosine = licenses._own(whole, False, headers, texts)
+            assert (how, licence) == ("file", name) and cosine >= 0.8
+    assert texts.best(licenses.terms("The words of a story about a river and the people that came to see it. " * 40)) is None
+
+
+def test_equal_cosines_give_the_first_licence():
+    idf = dict.fromkeys(licenses.VOCABULARY, 1.0)
+    index = licenses.Index([("B", {"license": 1}), ("A", {"license": 1})], idf, 0.8)
+    assert index.best(["license"]) == (1.0, "A")
