@@ -56,6 +56,8 @@ HOT = 1 << 16
 MEMBERS = 1024
 #: Tokens that a task holds before it sends them.
 FLUSH = 1 << 22
+#: Tokens that it sorts at once, about.
+PIECE = 1 << 18
 #: So many dropped documents' ids, 8 bytes each, are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 _SEVERAL = 0xFFFF
@@ -140,26 +142,36 @@ def _cut(n: int, shards: int, flush: int):
     whenever the task is repeated, since a scan repeats its order.
     """
 
-    def send(home: int, doc_ids, sets, sizes, tokens) -> pa.RecordBatch:
-        doc_ids, ids, size = np.concatenate(doc_ids), np.concatenate(sets), np.concatenate(sizes)
-        h = np.concatenate(tokens)
-        doc = np.repeat(np.arange(len(size)), size).astype(np.uint16)
-        shard = ((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-        key = (shard << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-        count = np.diff(np.append(first, len(key))).astype(np.uint32)
-        several = count > 1
-        mine, place = key[first], np.where(several, _SEVERAL, doc[first] if len(first) else 0).astype(np.uint16)
-        held = np.repeat(several, count)
-        rows = [(-1 - home % shards, home, _KEPT, len(size), _pack(doc_ids, ids, size, np.array([several.sum(), held.sum()], np.int64), _steps(mine[several]), _planes(count[several]), doc[held]))]
-        edge = np.searchsorted(mine >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
-        low = mine.astype(np.uint32)
-        for s in np.flatnonzero(np.diff(edge)).tolist():
-            x = slice(edge[s], edge[s + 1])
-            rows.append((s, home, _ASKED, edge[s + 1] - edge[s], _pack(_steps(low[x]), place[x], _planes(count[x]))))
-        return _exchange(rows)
+    def send(home: int, parts):
+        """Some shards at a time, so that neither the sorted tokens nor a batch are as large as what the task read."""
+        doc_ids, ids, size = (np.concatenate([x[j] for x in parts]) for j in range(3))
+        tokens, docs, base = [x[3] for x in parts], [], 0
+        for x in parts:
+            docs.append(np.repeat(np.arange(base, base + len(x[2])).astype(np.uint16), x[2]))
+            base += len(x[2])
+        shard_of = lambda h: ((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+        pieces = min(shards, -(-int(size.sum()) // PIECE), 0xFFFF)
+        piece = [(shard_of(h) * np.uint64(pieces) // np.uint64(shards)).astype(np.uint16) for h in tokens]
+        kept: list[tuple] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16))]
+        for r in range(pieces):
+            pick = [np.flatnonzero(x == r) for x in piece]
+            h, doc = (np.concatenate([x[at] for x, at in zip(column, pick, strict=True)]) for column in (tokens, docs))
+            key = (shard_of(h) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], doc[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            count = np.diff(np.append(first, len(key))).astype(np.uint32)
+            several = count > 1
+            mine, place = key[first], np.where(several, _SEVERAL, doc[first] if len(first) else 0).astype(np.uint16)
+            kept.append((mine[several], count[several], doc[np.repeat(several, count)]))
+            edge = np.searchsorted(mine >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+            low, rows = mine.astype(np.uint32), []
+            for s in np.flatnonzero(np.diff(edge)).tolist():
+                x = slice(edge[s], edge[s + 1])
+                rows.append((s, home, _ASKED, edge[s + 1] - edge[s], _pack(_steps(low[x]), place[x], _planes(count[x]))))
+            yield _exchange(rows)
+        mine, count, held = (np.concatenate(x) for x in zip(*kept, strict=True))
+        yield _exchange([(-1 - home % shards, home, _KEPT, len(size), _pack(doc_ids, ids, size, np.array([len(mine), len(held)], np.int64), _steps(mine), _planes(count), held))])
 
     def run(batches):
         home, held, parts, docs = blocks.partition_id() << 24, 0, [], 0
@@ -169,12 +181,12 @@ def _cut(n: int, shards: int, flush: int):
                 for x in range(0, len(ids), _SEVERAL - 1):  # a place in the home has 16 bits
                     y = min(len(ids), x + _SEVERAL - 1)
                     if parts and (held + at[y] - at[x] > flush or docs + y - x >= _SEVERAL):
-                        yield send(home, *zip(*parts, strict=True))
+                        yield from send(home, parts)
                         home, held, parts, docs = home + 1, 0, [], 0
                     parts.append((doc_id[a + x : a + y], ids[x:y], np.diff(at[x : y + 1]), h[at[x] : at[y]]))
                     held, docs = held + int(at[y] - at[x]), docs + y - x
         if parts:
-            yield send(home, *zip(*parts, strict=True))
+            yield from send(home, parts)
 
     return run
 

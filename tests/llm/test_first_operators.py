@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +247,21 @@ def test_classes_and_links_equal_brute_force(spark, monkeypatch, share, flush, h
     assert ngram_join.classes(df.limit(0)).count() == 0
 
 
+def test_a_task_sends_its_tokens_in_pieces(monkeypatch):
+    monkeypatch.setattr(blocks, "partition_id", lambda: 3)
+    rng, size, shards, rows = np.random.default_rng(8), 400_000, 64, []
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, size))), "a b c d", None, "A b c d", " ".join(map(str, range(size)))]
+    batch = pa.record_batch({"doc_id": pa.array(range(5)), "text": pa.array(texts)})
+    for sent in ngram_join._cut(3, shards, ngram_join.FLUSH)(iter([batch])):
+        assert sent.nbytes < 5e6
+        rows += sent.to_pylist()
+    asked = [r for r in rows if r["kind"] == ngram_join._ASKED]
+    assert sorted(r["key"] for r in asked) == list(range(shards)) and {r["home"] for r in rows} == {3 << 24}
+    tokens = {int(t) for _, h, _, _ in ngram_join.token_sets(batch.column("text"), 3) for t in h}
+    assert sum(r["n"] for r in asked) == len({((t >> 32) * shards >> 32, t & 0xFFFFFFFF) for t in tokens})
+    assert [(r["key"], r["n"]) for r in rows if r["kind"] == ngram_join._KEPT] == [(-1 - (3 << 24) % shards, 5)]
+
+
 def test_combinations_of_frequent_tokens_lose_no_pair():
     rng = np.random.default_rng(4)
     t, hit = ngram_join.THRESHOLD, 0
