@@ -27,7 +27,10 @@ token hashes, of 32 bits and the shard's number), and reports them by document:
 5. Candidates are verified on their shared tokens, gathered per neighbourhood, so that a set travels once to each
    group of candidates and not once for each pair; neighbourhoods of more than MEMBERS sets are split the same way.
    Each gives its sets' numbers of links and a spanning forest; no pair of sets leaves it.
-6. Classes are the connected components of these forests.
+6. Large groups of near copies share many signatures, so their pairs aren't enumerated by signature: sets connected by
+   signatures of CROWD sets and more are a crowd if its pairs are no more than those of these signatures.  The pairs
+   within a crowd leave step 4; shared tokens of all of them are counted by products of blocks of MEMBERS sets by tokens.
+7. Classes are the connected components of these forests.
 
 There is no cap on partners, and no step whose cost is bounded by dropping any.
 
@@ -54,6 +57,7 @@ GROUP = 12
 HEAD = 8
 HOT = 1 << 16
 MEMBERS = 1024
+CROWD = 128
 #: Tokens that a task holds before it sends them.
 FLUSH = 1 << 22
 #: Tokens that it sorts at once, about.
@@ -353,20 +357,76 @@ def _columns(batch, *names: str) -> list[np.ndarray]:
     return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
 
 
+def _signed(batch, bounds: list[int], t: float) -> tuple[np.ndarray, ...]:
+    """Ids and sizes of a batch of sets, and (set, signature, level) of these."""
+    ids, size = _columns(batch, "id", "size")
+    ids, size = ids.view(np.uint64), size.astype(np.int64)
+    tokens = [_unsix(x.as_buffer(), len(x.as_buffer()) // 6) for x in batch.column("tokens")]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int64)
+    levels = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("levels")])
+    return ids, size, *signatures(size, np.concatenate(tokens), levels, at, bounds, t)
+
+
+def _bounds(documents: int) -> list[int]:
+    return [int(level_of(max(8, share * documents))) for share in CLASS_SHARE]
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For places 0 to n - 1 the lowest place that each is connected with by the edges (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        low, before = np.minimum(root[a], root[b]), root.copy()
+        np.minimum.at(root, before[a], low)
+        np.minimum.at(root, before[b], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
+def crowds(active: DataFrame, documents: int, t: float, shards: int) -> DataFrame:
+    """(id, crowd, n) of the sets in crowds, n being a crowd's number of sets."""
+    bounds, most = _bounds(documents), CROWD
+
+    def hot(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ids, _, doc, sig, level = _signed(batch, bounds, t)
+                some = level >= level_of(most)
+                sig = sig[some] & np.uint64((1 << 48) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array((sig % np.uint64(shards)).astype(np.int32)), pa.array(sig.view(np.int64)), pa.array(ids[doc[some]].view(np.int64))], names=["shard", "sig", "id"])
+
+    def forest(table: pa.Table) -> pa.Table:
+        sig, ids = _columns(table, "sig", "id")
+        known, own = np.unique(ids, return_inverse=True)
+        order = np.argsort(sig, kind="stable")
+        sig, own = sig[order], own[order]
+        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
+        run = np.diff(np.append(first, len(sig)))
+        big = run >= most
+        own, head = own[np.repeat(big, run)], np.repeat(own[first[big]], run[big])
+        root, some = roots(len(known), own, head), np.unique(own)
+        cost = np.bincount(root[own[np.cumsum(run[big]) - 1]], run[big].astype(float) ** 2, len(known))
+        return pa.table({"id": known[some], "root": known[root[some]], "cost": cost[some]})
+
+    trees = blocks.written(active.mapInArrow(hot, "shard int, sig long, id long").groupBy("shard").applyInArrow(forest, "id long, root long, cost double"), "trees")
+    known = components(trees.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "crowd")
+    known = blocks.written(known.where("crowd <> 0"), "known")  # 0 is for sets in none
+    worth = trees.groupBy("id").agg(F.sum("cost").alias("cost")).join(known, "id").groupBy("crowd").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+    return blocks.written(known.join(worth.where("double(n) * n <= cost").select("crowd", "n"), "crowd").select("id", "crowd", "n"), "crowds")
+
+
 def index_sets(active: DataFrame, documents: int, t: float, shards: int) -> DataFrame:
-    """Packed sets (id, size, head) and their signatures, by shard."""
-    bounds, most = [int(level_of(max(8, share * documents))) for share in CLASS_SHARE], HOT
+    """Packed sets (id, size, crowd or 0, head) and their signatures, by shard."""
+    bounds, most = _bounds(documents), HOT
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, size = _columns(batch, "id", "size")
-            ids, size = ids.view(np.uint64), size.astype(np.int64)
-            tokens = [_unsix(x.as_buffer(), len(x.as_buffer()) // 6) for x in batch.column("tokens")]
-            at = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int64)
-            levels = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("levels")])
-            doc, sig = split_hot(*signatures(size, np.concatenate(tokens), levels, at, bounds, t), ids, most)
+            ids, size, doc, sig, level = _signed(batch, bounds, t)
+            crowd = batch.column("crowd").to_numpy(zero_copy_only=False)
+            doc, sig = split_hot(doc, sig, level, ids, most)
             sig &= np.uint64((1 << 48) - 1)
             order = np.lexsort((sig, doc))
             doc, sig = doc[order], sig[order]
@@ -381,19 +441,26 @@ def index_sets(active: DataFrame, documents: int, t: float, shards: int) -> Data
             rows = []
             for s in np.flatnonzero(np.diff(edge)).tolist():
                 own, place = np.unique(doc[edge[s] : edge[s + 1]], return_inverse=True)
-                rows.append((s, len(own), _pack(ids[own], size[own].astype(np.uint32), _six(head[own].ravel()), _six(sig[edge[s] : edge[s + 1]]), _planes(place.astype(np.uint32)))))
+                rows.append((s, len(own), _pack(ids[own], crowd[own], size[own].astype(np.uint32), _six(head[own].ravel()), _six(sig[edge[s] : edge[s + 1]]), _planes(place.astype(np.uint32)))))
             columns = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["shard", "n", "data"])
 
     return active.mapInArrow(run, "shard int, n int, data binary")
 
 
-def pairs_of(sig: np.ndarray, own: np.ndarray, size: np.ndarray, t: float, most: int = 1 << 21):
-    """Pairs of places (a < b, as a << 32 | b) that share a signature and pass the length filter, distinct within a batch."""
+def pairs_of(sig: np.ndarray, own: np.ndarray, size: np.ndarray, crowd: np.ndarray, t: float, most: int = 1 << 21):
+    """Pairs of places (a < b, as a << 32 | b) that share a signature, not a crowd, and pass the length filter, distinct within a batch."""
     order = np.lexsort((own, sig))
     sig, own = sig[order], own[order]
     first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
     run = np.diff(np.append(first, len(sig)))
+    if len(sig):
+        within = crowd[own]
+        low = np.minimum.reduceat(within, first)
+        others = np.repeat((low == 0) | (low != np.maximum.reduceat(within, first)), run)
+        sig, own = sig[others], own[others]
+        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
+        run = np.diff(np.append(first, len(sig)))
     # each element pairs with those after it in its run
     after = np.repeat(first + run, run) - np.arange(len(sig)) - 1
     total = np.concatenate([[0], np.cumsum(after)])
@@ -403,7 +470,7 @@ def pairs_of(sig: np.ndarray, own: np.ndarray, size: np.ndarray, t: float, most:
         n = after[x:y]
         left = np.repeat(np.arange(x, y), n)
         a, b = own[left], own[left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)]
-        ok = np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9
+        ok = (np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9) & ((crowd[a] != crowd[b]) | (crowd[a] == 0))
         held.append(np.unique(a[ok] << 32 | b[ok]))
         count += len(held[-1])
         if count > most:
@@ -418,23 +485,24 @@ def pairs_of(sig: np.ndarray, own: np.ndarray, size: np.ndarray, t: float, most:
 
 
 def candidates(index: DataFrame, t: float, shards: int) -> DataFrame:
-    """Pairs of set ids that share a signature, each once."""
+    """Pairs of set ids that share a signature, each once, but those within a crowd."""
 
     def meet(table: pa.Table) -> pa.Table:
-        shard, ids, size, heads, sig, own, k = np.uint64(table.column("shard")[0].as_py()), [], [], [], [], [], 0
+        shard, ids, crowd, size, heads, sig, own, k = np.uint64(table.column("shard")[0].as_py()), [], [], [], [], [], [], 0
         for n, x in zip(table.column("n").to_pylist(), table.column("data"), strict=True):
             x = x.as_buffer()
-            base = n * (12 + 6 * HEAD)
+            base = n * (20 + 6 * HEAD)
             m = (len(x) - base) // 10
             ids.append(np.frombuffer(x, np.int64, n))
-            size.append(np.frombuffer(x, np.uint32, n, 8 * n).astype(np.int64))
-            heads.append(_unsix(x, n * HEAD, 12 * n).reshape(n, HEAD))
+            crowd.append(np.frombuffer(x, np.int64, n, 8 * n))
+            size.append(np.frombuffer(x, np.uint32, n, 16 * n).astype(np.int64))
+            heads.append(_unsix(x, n * HEAD, 20 * n).reshape(n, HEAD))
             sig.append(_unsix(x, m, base))
             own.append(_unplanes(x, m, np.uint32, base + 6 * m).astype(np.int64) + k)
             k += n
-        ids, size, heads = np.concatenate(ids), np.concatenate(size), np.concatenate(heads)
+        ids, crowd, size, heads = (np.concatenate(x) for x in (ids, crowd, size, heads))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for pair in pairs_of(np.concatenate(sig), np.concatenate(own), size, t):
+        for pair in pairs_of(np.concatenate(sig), np.concatenate(own), size, crowd, t):
             for x in range(0, len(pair), 1 << 15):
                 a, b = pair[x : x + (1 << 15)] >> 32, pair[x : x + (1 << 15)] & 0xFFFFFFFF
                 common = (heads[a][:, :, None] == heads[b][:, None, :]).any(2) & (heads[a] != _PAD)
@@ -470,23 +538,93 @@ def verify(active: DataFrame, pairs: DataFrame, t: float, each: bool = False) ->
         same = np.array([_shared(tokens[x], tokens[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
         score = same / (size[a] + size[b] - same)
         good = score >= t - 1e-9
-        a, b = a[good], b[good]
-        if each:
-            return pa.table({"a": ids[a], "b": ids[b], "jaccard": score[good]})
-        links = np.zeros(len(ids), np.int64)
-        np.add.at(links, a, copies[b])
-        np.add.at(links, b, copies[a])
-        root = ids.copy()
-        while len(a):
-            low, before = np.minimum(root[a], root[b]), root.copy()
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
-            if (root == before).all():
-                break
-        some = links > 0
-        return pa.table({"id": ids[some], "links": links[some], "root": root[some]})
-
-    return placed.groupBy("place").cogroup(sets.groupBy("spot")).applyInArrow(meet, "a long, b long, jaccard double" if each else "id long, links long, root long")
+        return _found(ids, copies, a[good], b[good], score[good], each)
+
+    return placed.groupBy("place").cogroup(sets.groupBy("spot")).applyInArrow(meet, _PAIRS if each else _LINKS)
+
+
+_PAIRS, _LINKS = "a long, b long, jaccard double", "id long, links long, root long"
+
+
+def _found(ids: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray, score: np.ndarray, each: bool) -> pa.Table:
+    """What verified pairs of places (a, b) are as rows of _PAIRS or _LINKS."""
+    if each:
+        return pa.table({"a": ids[a], "b": ids[b], "jaccard": score})
+    links = np.zeros(len(ids), np.int64)
+    np.add.at(links, a, copies[b])
+    np.add.at(links, b, copies[a])
+    order = np.argsort(ids)
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    root = ids[order][roots(len(ids), place[a], place[b])][place]
+    some = links > 0
+    return pa.table({"id": ids[some], "links": links[some], "root": root[some]})
+
+
+def shared_counts(tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many tokens each of the sets left has in common with each of right (places in tokens).
+
+    Tokens of few pairs are counted pair by pair, the others by products of 0/1 matrices, some tokens at a time.
+    """
+    _, token = np.unique(np.concatenate(tokens), return_inverse=True)
+    token = np.split(token, np.cumsum([len(x) for x in tokens])[:-1])
+    kinds = 1 + max((int(x.max()) for x in token if len(x)), default=0)
+    total, sides = np.zeros((len(left), len(right)), np.int32), []
+    for some in (left, right):
+        column, row = np.concatenate([token[k] for k in some]), np.repeat(np.arange(len(some)), [len(token[k]) for k in some])
+        order = np.argsort(column, kind="stable")
+        sides.append((column[order], row[order], np.bincount(column, minlength=kinds)))
+    (u, i, m), (v, j, n) = sides
+    pairs = m * n
+    rare = (pairs > 0) & (pairs * 100 <= total.size)
+    low, first = rare[u], np.cumsum(n) - n
+    u_low, i_low = u[low], i[low]
+    reach = np.concatenate([[0], np.cumsum(n[u_low])])
+    x = 0
+    while x < len(u_low):
+        y = max(x + 1, int(np.searchsorted(reach, reach[x] + (1 << 20), side="right")) - 1)
+        k = n[u_low[x:y]]
+        other = j[np.repeat(first[u_low[x:y]] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+        total += np.bincount(np.repeat(i_low[x:y], k) * len(right) + other, minlength=total.size).reshape(total.shape).astype(np.int32)
+        x = y
+    dense = np.flatnonzero((pairs > 0) & ~rare)
+    for at in range(0, len(dense), 1024):
+        own = dense[at : at + 1024]
+        place = np.full(kinds, -1)
+        place[own] = np.arange(len(own))
+        matrices = []
+        for column, row, count in ((u, i, len(left)), (v, j, len(right))):
+            has = place[column]
+            x = np.zeros((count, len(own)), np.float32)
+            x[row[has >= 0], has[has >= 0]] = 1
+            matrices.append(x)
+        total += (matrices[0] @ matrices[1].T).astype(np.int32)
+    return total
+
+
+def verify_crowds(active: DataFrame, crowd: DataFrame, t: float, each: bool = False) -> DataFrame:
+    """What verify gives, of all pairs of sets within crowds."""
+    part = crowd.select("id", "crowd", F.ceil(F.col("n") / MEMBERS).cast("long").alias("parts")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    spots = part.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("id", "crowd", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    sets = spots.join(active.select("id", "size", "copies", "tokens"), "id")
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, size, copies, part = _columns(table, "id", "size", "copies", "part")
+        tokens = [_unsix(x.as_buffer(), len(x.as_buffer()) // 6) for x in table.column("tokens")]
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        if not len(left) or not len(right):
+            none = np.zeros(0, np.int64)
+            return _found(ids, copies, none, none, np.zeros(0), each)
+        same = shared_counts(tokens, left, right).astype(np.int64)
+        score = same / (size[left][:, None] + size[right][None, :] - same)
+        good = score >= t - 1e-9
+        if low == high:
+            good = np.triu(good, 1)
+        a, b = np.nonzero(good)
+        return _found(ids, copies, left[a], right[b], score[good], each)
+
+    return sets.groupBy("crowd", "low", "high").applyInArrow(meet, _PAIRS if each else _LINKS)
 
 
 def _shared(u: np.ndarray, v: np.ndarray) -> int:
@@ -499,8 +637,8 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _prepared(documents: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All documents' sets, the distinct ones that may have a partner, and candidate pairs of these."""
+def _prepared(documents: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All documents' sets, the distinct ones that may have a partner, their crowds, and candidate pairs of these."""
     spark = documents.sparkSession
     docs = blocks.narrow(blocks.scanned(documents), "doc_id", "text").where("doc_id is not null")
     # each step's shuffles are done with when its table is written
@@ -511,18 +649,25 @@ def _prepared(documents: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFr
     blocks.release(spark)
     # a tenth of the tokens come this far
     shards = max(1, _partitions(spark) // 4)
-    pairs = blocks.written(candidates(index_sets(active, sets.count(), t, shards), t, shards), "pairs")
-    return sets, active, pairs
+    count = sets.count()
+    crowd = crowds(active, count, t, shards)
+    marked = active.join(crowd.select("id", "crowd"), "id", "left").withColumn("crowd", F.coalesce("crowd", F.lit(0).cast("long")))
+    pairs = blocks.written(candidates(index_sets(marked, count, t, shards), t, shards), "pairs")
+    return sets, active, crowd, pairs
+
+
+def _verified(active: DataFrame, crowd: DataFrame, pairs: DataFrame, t: float, each: bool = False) -> DataFrame:
+    return verify(active, pairs, t, each).unionByName(verify_crowds(active, crowd, t, each))
 
 
 def join(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """(doc_a, doc_b, jaccard): pairs of documents that stand for their token sets, and each
     document with the one of lowest doc_id that has the same set."""
-    sets, active, pairs = _prepared(documents, n, t)
+    sets, active, crowd, pairs = _prepared(documents, n, t)
     sets = sets.where("id is not null").select("doc_id", "id")
     lead = sets.groupBy("id").agg(F.min("doc_id").alias("lead"))
     near = (
-        verify(active, pairs, t, each=True).join(lead.select(F.col("id").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("id").alias("b"), F.col("lead").alias("y")), "b")
+        _verified(active, crowd, pairs, t, each=True).join(lead.select(F.col("id").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("id").alias("b"), F.col("lead").alias("y")), "b")
         .where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
     )
     copies = sets.join(lead, "id").where("doc_id <> lead").select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
@@ -532,13 +677,13 @@ def join(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
 def classes(documents: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, links), a row per row of documents that has a doc_id: the lowest doc_id of those that it is
     connected with by pairs of similarity t or more, and how many other documents it forms such pairs with."""
-    sets, active, pairs = _prepared(documents, n, t)
-    found = blocks.written(verify(active, pairs, t), "found")
+    sets, active, crowd, pairs = _prepared(documents, n, t)
+    found = blocks.written(_verified(active, crowd, pairs, t), "found")
     blocks.release(documents.sparkSession)
-    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    forest = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     own = sets.where("id is not null").groupBy("id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("lead"))
-    own = own.join(links, "id", "left").join(roots, "id", "left").select("id", "lead", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "id").alias("root"))
+    own = own.join(links, "id", "left").join(forest, "id", "left").select("id", "lead", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "id").alias("root"))
     own = blocks.written(own.where("links > 0"), "linked")
     least = own.groupBy("root").agg(F.min("lead").alias("class_id"))
     known = own.join(least, "root").select("id", "class_id", "links")

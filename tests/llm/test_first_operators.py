@@ -247,6 +247,29 @@ def test_classes_and_links_equal_brute_force(spark, monkeypatch, share, flush, h
     assert ngram_join.classes(df.limit(0)).count() == 0
 
 
+def test_crowds_of_near_copies_make_no_candidates(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWD", 8)
+    monkeypatch.setattr(ngram_join, "MEMBERS", 16)
+    rng, texts = random.Random(6), []
+    for m, noise in ((45, 0.02), (40, 0.08)):
+        base = prose(rng, 150).split()
+        texts += [" ".join(f"{rng.choice(WORDS)}{rng.randrange(50)}" if rng.random() < noise else w for w in base) for _ in range(m)]
+    texts += [texts[0]] * 3 + [texts[44] + " one more"] + [prose(rng, 60) for _ in range(20)]
+    want = {(i, j): s for i in range(len(texts)) for j in range(i + 1, len(texts)) if (s := jaccard(texts[i], texts[j])) >= ngram_join.THRESHOLD - 1e-9}
+    df = docs_of(spark, texts)
+    _, active, crowd, pairs = ngram_join._prepared(df, ngram_join.N, ngram_join.THRESHOLD)
+    assert crowd.count() > 60 and pairs.count() < 0.1 * len(want)
+    links = [sum(k in pair for pair in want) for k in range(len(texts))]
+    assert {r.doc_id: r.links for r in ngram_join.classes(df).collect()} == dict(enumerate(links)) and max(links) > 40
+
+
+def test_shared_counts_equal_brute_force():
+    rng = np.random.default_rng(5)
+    tokens = [np.unique(rng.integers(0, 10 ** int(rng.integers(1, 5)), int(rng.integers(0, 3000)))).astype(np.uint64) for _ in range(60)]
+    for left, right in ((np.arange(60), np.arange(60)), (np.arange(0, 60, 3), np.arange(1, 60, 2))):
+        assert (ngram_join.shared_counts(tokens, left, right) == [[len(np.intersect1d(tokens[a], tokens[b])) for b in right] for a in left]).all()
+
+
 def test_a_task_sends_its_tokens_in_pieces(monkeypatch):
     monkeypatch.setattr(blocks, "partition_id", lambda: 3)
     rng, size, shards, rows = np.random.default_rng(8), 400_000, 64, []
