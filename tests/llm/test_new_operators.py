@@ -39,6 +39,22 @@ def test_rules_by_case(spark):
     assert {"capitals", "exclamations", "few_words"} <= failed[4] and "symbols" in failed[5] and "bars" in failed[6] and "repeated_words" in failed[7] and "repeated_lines" in failed[8] and "repeated_words" in failed[9]
 
 
+def test_policies_are_decided_on_the_written_ledger(spark, tmp_path, monkeypatch):
+    df = docs_of(spark, ["und " * 100, None, "x | y | z | " * 30])
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for query in (rules.query, rules.ablation_query):
+        assert "text" not in query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, rules.query(spark, str(tmp_path)).collect()))
+    assert got == sorted(map(tuple, rules.judged(df).collect()))
+    book = rules.record(df, str(tmp_path / "ledger"))
+    assert book.columns == ["doc_id", *rules.MEASURES, "failed"]
+    monkeypatch.setitem(rules.POLICIES, "later", rules.BIT["bars"])
+    assert {r.doc_id for r in rules.recorded(spark, str(tmp_path / "ledger")).where(rules.keeps("later")).collect()} == {0, 1}
+    monkeypatch.setattr(rules, "RULE_SET", rules.RULE_SET + 1)
+    with pytest.raises(ValueError, match="rule set"):
+        rules.recorded(spark, str(tmp_path / "ledger"))
+
+
 def test_ablations_equal_brute_force(spark):
     rng = random.Random(3)
     masks = [rng.randrange(1 << len(rules.RULES)) & rng.randrange(1 << len(rules.RULES)) & rng.randrange(1 << len(rules.RULES)) for _ in range(300)] + [0]
