@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -39,47 +40,96 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int = 5, min_percent: f
 def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id", embedding: str = "embedding") -> DataFrame:
     """(query_key, key, similarity_score, rank): the k nearest vectors of each row of queries, which are as many as they like.
 
-    Both sides are packed into blocks of BLOCK unit vectors; each pair of blocks is one matrix product that
-    leaves k rows a query, and these partial results are merged.  No vector comes to the driver.
+    Both sides are dealt into p parts by their keys, and each of the p * p pairs of parts is a task of its own, of at most
+    PART bytes a side.  It multiplies tiles in single precision, keeps what comes within SLACK of a query's k best so far, and scores that
+    again exactly, term by term in double precision, so rounding in the products decides nothing.  No vector comes to the driver.
     """
-    left = _blocks(queries.select(F.col(query_key).cast("long").alias("id"), F.col("embedding")), "q")
-    right = _blocks(vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).alias("embedding")), "v")
-    found = right.crossJoin(left).where("q_dim = v_dim").select("q_ids", "q_data", "v_ids", "v_data", "q_dim").mapInArrow(_nearest(k), "q long, v long, similarity_score double")
+    sides = _sized(queries, query_key, "embedding"), _sized(vectors, key, embedding)
+    size = vectors.agg(F.count(embedding).alias("n"), F.max(F.size(embedding)).alias("dim")).first()
+    many, cores = max(size["n"], queries.count()), vectors.sparkSession.sparkContext.defaultParallelism
+    p = max(1, math.ceil(many * (size["dim"] or 0) * 8 / PART), min(math.ceil(math.sqrt(4 * cores)), math.ceil(many / TILE[0])))
+    left, right = (_dealt(df, p, first) for df, first in zip(sides, (True, False), strict=True))
+    pairs = left.unionByName(right).repartitionById(p * p, "pair")
+    found = pairs.select("pair", "dim", "query", "ids", "data").mapInArrow(_nearest(k), "q long, v long, similarity_score double")
     best = F.expr(f"slice(sort_array(collect_list(struct(similarity_score, v)), false), 1, {int(k)})")
     merged = found.groupBy("q").agg(best.alias("b")).select("q", F.posexplode("b").alias("rank", "x"))
     return merged.select(F.col("q").alias(query_key), F.col("x.v").alias(key), "x.similarity_score", (F.col("rank") + 1).alias("rank"))
 
 
-BLOCK = 4096
+#: Queries and vectors of a tile; bytes of one side of a task; more than single precision can be wrong by for unit vectors of up to 4096 numbers.
+TILE, PART, SLACK = (1024, 4096), 64 << 20, 1e-4
 
 
-def _blocks(df: DataFrame, name: str) -> DataFrame:
-    """Rows of packed ids and unit vectors; vectors of different lengths never share a row, null ones are left out."""
+def _sized(df: DataFrame, key: str, embedding: str) -> DataFrame:
+    df = df.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    return df.where("id is not null and embedding is not null").withColumn("size", F.size("embedding"))
+
+
+def _dealt(df: DataFrame, p: int, query: bool) -> DataFrame:
+    """Rows of packed ids and vectors of one length, dealt into p parts by id, once for each pair of parts."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                sizes = np.asarray(part.column(2))
-                for dim in np.unique(sizes).tolist():
-                    own = part.filter(pa.array(sizes == dim))
-                    m = np.asarray(own.column(1).flatten(), np.float64).reshape(own.num_rows, dim)
-                    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), S.EPS)
-                    yield pa.RecordBatch.from_arrays([pa.array([np.asarray(own.column(0)).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=[f"{name}_ids", f"{name}_data", f"{name}_dim"])
-
-    sized = df.where("id is not null and embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("size"))
-    return sized.mapInArrow(run, f"{name}_ids binary, {name}_data binary, {name}_dim int")
+            ids, sizes = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+            part = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % p
+            for n, dim in np.unique(np.stack([part, sizes]), axis=1).T.tolist():
+                own = batch.filter(pa.array((part == n) & (sizes == dim)))
+                m = np.asarray(own.column(1).flatten().fill_null(np.nan), np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([dim], pa.int32()), pa.array([np.asarray(own.column(0)).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["part", "dim", "ids", "data"])
+
+    packed = df.select("id", "embedding", "size").mapInArrow(run, "part int, dim int, ids binary, data binary").withColumn("query", F.lit(query))
+    other = F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("other")
+    pair = F.col("part") * p + F.col("other") if query else F.col("other") * p + F.col("part")
+    return packed.select("*", other).withColumn("pair", pair.cast("int")).drop("part", "other")
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, added up in order."""
+    return (a * b).cumsum(axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
+
+
+def _best_of(ids: np.ndarray, q: np.ndarray, keys: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, key, score) of the k nearest of v to each row of q."""
+    lengths = lambda m: np.maximum(np.sqrt(_exact(m, m)), S.EPS)
+    q_len, v_len = lengths(q), lengths(v)
+    q32, v32 = (q / q_len[:, None]).astype(np.float32), (v / v_len[:, None]).astype(np.float32)
+    rows, found, scores = [], [], []
+    for at in range(0, len(q), TILE[0]):
+        unit = q32[at : at + TILE[0]]
+        n = len(unit)
+        row, key, score, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(n, -np.inf)
+        for begin in range(0, len(v), TILE[1]):
+            s = unit @ v32[begin : begin + TILE[1]].T
+            bound = least - SLACK
+            if s.shape[1] > k:  # at least k of this tile are as near as its k-th
+                bound = np.maximum(bound, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 2 * SLACK) if begin == 0 else bound
+            r, c = np.nonzero(~(s < bound[:, None].astype(np.float32)))
+            for part in range(0, len(r), 1 << 16):  # equal vectors may be many
+                x, y = r[part : part + (1 << 16)], c[part : part + (1 << 16)] + begin
+                exact = np.clip(_exact(v[y], q[at + x]) / (v_len[y] * q_len[at + x]), -1, 1)
+                row, key, score = np.r_[row, x], np.r_[key, keys[y]], np.r_[score, exact]
+                order = np.lexsort((-key, -score, row))
+                row, key, score = row[order], key[order], score[order]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                row, key, score, nth = row[nth < k], key[nth < k], score[nth < k], nth[nth < k]
+                least[row[nth == k - 1]] = score[nth == k - 1]
+        rows.append(row + at)
+        found.append(key)
+        scores.append(score)
+    return ids[np.concatenate(rows)], np.concatenate(found), np.concatenate(scores)
 
 
 def _nearest(k: int):
     def run(batches):
+        held: dict = {}
         for batch in batches:
-            for q_ids, q_data, v_ids, v_data, dim in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, keys = np.frombuffer(q_ids, np.int64), np.frombuffer(v_ids, np.int64)
-                s = np.clip(np.frombuffer(q_data).reshape(len(ids), dim) @ np.frombuffer(v_data).reshape(len(keys), dim).T, -1, 1)
-                order = np.lexsort((np.broadcast_to(-keys, s.shape), -s), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["q", "v", "similarity_score"])
+            for pair, dim, query, ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                side = held.setdefault((pair, dim), ([], []))[not query]
+                side.append((np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dim)))
+        for sides in held.values():
+            if all(sides) and k > 0:
+                q, v = ([np.concatenate(x) for x in zip(*side, strict=True)] for side in sides)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best_of(*q, *v, k)], names=["q", "v", "similarity_score"])
 
     return run
 

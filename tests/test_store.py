@@ -230,6 +230,23 @@ def test_top_k_many_equals_brute_force(spark):
     assert search.top_k(df, m[0].tolist(), 0, 0, key="vec_id").where(F.col("vec_id") == 0).first().similarity_percent == 100
 
 
+def test_top_k_many_of_one_partition_is_dealt_to_tasks_and_exact(spark):
+    rng = np.random.default_rng(2)
+    m = (rng.normal(size=(1, 8)) + rng.normal(size=(2500, 8)) * 1e-6).astype(np.float32)  # nearer than single precision tells
+    m[900:1000] = m[5]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<float>").coalesce(1)
+    found = search.top_k_many(df, df.where("vec_id % 500 = 5").withColumnRenamed("vec_id", "query_id"), 3, key="vec_id")
+    plan = found._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    d = m.astype(float)
+    dot = lambda a, b: (a * b).cumsum(axis=-1)[..., -1]
+    want = set()
+    for q in range(5, 2500, 500):
+        s = np.clip(dot(d, d[q]) / (np.sqrt(dot(d, d)) * np.sqrt(dot(d[q], d[q]))), -1, 1)
+        want |= {(q, int(v), n) for n, v in enumerate(np.lexsort((-np.arange(2500), -s))[:3], 1)}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in found.collect()} == want
+
+
 def test_a_commit_between_reading_and_writing_is_not_lost(spark, tmp_path):
     path = str(tmp_path / "s")
     st, other = Store(spark, path), Store(spark, path)
