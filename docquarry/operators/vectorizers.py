@@ -45,12 +45,16 @@ class HashingVectorizer(Vectorizer):
         self.dim = dim
 
     def vectorize(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
+        out, hashed, known, size = np.zeros((len(texts), self.dim), np.float32), hashlib.blake2b, {}, 8
         for k, text in enumerate(texts):
             words = re.findall(r"\w+", (text or "").lower())
-            for term in [*words, *map(" ".join, zip(words, words[1:], strict=False))]:
-                h = int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little")
-                out[k, h % self.dim] += 1 if h >> 63 else -1
+            digests = [hashed(t.encode(), digest_size=size).digest() for t in map(" ".join, zip(words, words[1:], strict=False))]
+            for w in words:  # single words come again and again, pairs don't
+                if (d := known.get(w)) is None:
+                    d = known[w] = hashed(w.encode(), digest_size=size).digest()
+                digests.append(d)
+            h = np.frombuffer(b"".join(digests), "<u8")
+            out[k] = np.bincount((h % np.uint64(self.dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), self.dim)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
 

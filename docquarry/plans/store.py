@@ -18,6 +18,7 @@ import time
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +39,15 @@ SCHEMAS = {
     "documents": "doc_id long, file_path string, file_hash string, metadata binary, is_encrypted boolean, added_timestamp timestamp",
     "chunks": "chunk_id long, doc_id long, chunk_text binary, start_pos int, end_pos int, chunk_seq int, tags array<string>, is_encrypted boolean, graph_processed_at timestamp",
     "vectors": "chunk_id long, embedding array<float>",
+    "blanks": "doc_id long, chunk_seq int, chunk_text binary, is_encrypted boolean",
     "pages": PAGES,
     "nodes": "node_id long, node_label string, node_properties string, unique_signature string, node_vector array<float>",
     "relationships": "relationship_id long, source_node_id long, target_node_id long, relationship_type string, relationship_properties string",
     "links": "node_id long, chunk_id long",
 }
 PREFIX_END = "------------------------"
+#: What Java's (?U)\\s matches.  Chunks that are embedded at once.
+BLANK, AT_ONCE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000", 2048
 
 
 def metadata_prefix(metadata: dict | None) -> str:
@@ -76,7 +80,7 @@ class Store:
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.chunk_size, self.chunk_overlap, self.strategy, self.tokenizer = chunk_size, chunk_overlap, chunking_strategy, tokenizer
-        self._clean, self._processor, self._expand = get_cleaner(text_cleaner), chunk_processor, {"expand_before": expand_before, "expand_after": expand_after}
+        self._clean, self._processor, self._expand = get_cleaner(text_cleaner) if text_cleaner is not None else None, chunk_processor, {"expand_before": expand_before, "expand_after": expand_after}
         manifest = self._manifest()
         info = {"unique_name": unique_name(vectorizer, vectorizer_config), "vectorizer_name": vectorizer, "vectorizer_config": public(vectorizer_config)}
         known = manifest["properties"]
@@ -193,13 +197,13 @@ class Store:
         df.write.parquet(folder)
         return self.spark.read.schema(df.schema).parquet(folder)
 
-    def _numbered(self, df: DataFrame, order: list[str], first: int, key: str) -> DataFrame:
-        """df with consecutive numbers from first in that order, given within range partitions that are stored before they are counted."""
-        parts = self._staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), key)
-        rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-        counts = parts.groupBy("_part").count()
-        before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-        return parts.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn(key, F.col("_before") + F.col("_rank") + F.lit(first - 1)).drop("_part", "_rank", "_before")
+    def _numbered(self, df: DataFrame, order: list[str], first: int, key: str, takes: str = "1L") -> DataFrame:
+        """df with numbers from first in that order, of which each row takes so many; given within range partitions that are stored before they are counted."""
+        parts = self._staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_takes", F.expr(takes)), key)
+        within = F.sum("_takes").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_takes")
+        counts = parts.groupBy("_part").agg(F.sum("_takes").alias("_n"))
+        before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+        return parts.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(key, F.col("_before") + F.col("_within") + F.lit(first)).drop("_part", "_takes", "_within", "_before")
 
     # ingest
 
@@ -207,66 +211,90 @@ class Store:
     def ingest(self, incoming: DataFrame, force: bool = False, vectorize_with_metadata: bool = True, chunk_size: int | None = None, chunk_overlap: int | None = None, strategy: str | None = None, skip_chunking: bool = False) -> DataFrame:
         """Adds or updates documents: incoming has file_path and text, and may have file_hash, metadata (JSON) and tags.
 
-        Gives (file_path, status, num_chunks_added, num_chunks_ignored); status is new, changed, forced, unchanged, empty,
-        ignored (all chunks blank, nothing written) or error (null text).  Of repeated paths the greatest text counts.
+        Gives (file_path, status, num_chunks_added, num_chunks_ignored, change); status is new, changed, forced, unchanged, empty,
+        ignored (all chunks blank, nothing written) or error (null text); change is new, changed or unchanged by the path and hash alone.
+        Of repeated paths the greatest text counts.  Texts are stored once as they come and once as chunks with their vectors; what is
+        grouped, joined and numbered are rows without text, but for one join of new chunks with the ids of their documents.
         """
         spark, has = self.spark, set(incoming.columns)
         option = lambda c, kind: (F.col(c) if c in has else F.lit(None)).cast(kind).alias(c)
         df = incoming.select("file_path", F.col("text").cast("string").alias("text"), option("file_hash", "string"), option("metadata", "string"), option("tags", "array<string>"))
         df = df.withColumn("file_hash", F.coalesce("file_hash", F.sha2(F.encode("text", "UTF-8"), 256)))
-        df = df.groupBy("file_path").agg(F.max(F.struct("text", "file_hash", "metadata", "tags")).alias("x")).select("file_path", "x.*")
-        known = self.table("documents").select("file_path", "doc_id", F.col("file_hash").alias("old_hash"))
-        indexed = self.table("chunks").join(self.table("vectors").select("chunk_id"), "chunk_id", "left_semi").select("doc_id").distinct().withColumn("indexed", F.lit(True))
-        df = df.join(known, "file_path", "left").join(indexed, "doc_id", "left")
+        given = self._staged(df if self._clean is None else df.withColumn("clean", self._clean(F.col("text"))), "given")
+        clean, columns = "text" if self._clean is None else "clean", given.columns[1:]
+        twice = given.groupBy(F.col("file_path").alias("_p")).count().where("count > 1").select("_p")
+        if not twice.isEmpty():
+            same_path = F.col("file_path").eqNullSafe(F.col("_p"))
+            one = given.join(twice, same_path, "left_semi").groupBy("file_path").agg(F.max(F.struct(*columns)).alias("x")).select("file_path", "x.*")
+            given = self._staged(given.join(twice, same_path, "left_anti").unionByName(one), "given")
+        judged = given.select("file_path", "file_hash", "metadata", "tags", F.col("text").isNull().alias("_missing"), (~F.col(clean).rlike("(?U)\\S")).alias("_blank"))
+        filled = bool(self._pinned["tables"].get("documents"))
+        if filled:
+            known = self.table("documents").select("file_path", "doc_id", F.col("file_hash").alias("old_hash"))
+            indexed = self.table("chunks").join(self.table("vectors").select("chunk_id"), "chunk_id", "left_semi").select("doc_id").distinct().withColumn("indexed", F.lit(True))
+            judged = judged.join(known, "file_path", "left").join(indexed, "doc_id", "left")
+        else:
+            judged = judged.withColumns({"doc_id": F.lit(None).cast("long"), "old_hash": F.lit(None).cast("string"), "indexed": F.lit(None).cast("boolean")})
         same = (F.col("file_hash") == F.col("old_hash")) & F.col("indexed") & ~F.lit(force)
-        clean = self._clean(F.col("text"))
-        df = df.withColumn("clean", clean).withColumn(
-            "status",
-            F.when(F.col("text").isNull(), "error").when(F.coalesce(same, F.lit(False)), "unchanged").when(F.regexp_replace("clean", "(?U)\\s+", "") == "", "empty").when(F.col("doc_id").isNull(), "new").when(F.col("file_hash") == F.col("old_hash"), "forced").otherwise("changed"),
-        )
-        df = self._staged(df, "incoming")
+        judged = self._staged(judged.withColumns({
+            "status": F.when(F.col("_missing"), "error").when(F.coalesce(same, F.lit(False)), "unchanged").when(F.col("_blank"), "empty").when(F.col("doc_id").isNull(), "new").when(F.col("file_hash") == F.col("old_hash"), "forced").otherwise("changed"),
+            "change": F.when(F.col("doc_id").isNull(), "new").when(F.col("file_hash").eqNullSafe(F.col("old_hash")), "unchanged").otherwise("changed"),
+        }).drop("_missing", "_blank", "indexed"), "judged")
         size, overlap = chunk_size or self.chunk_size, self.chunk_overlap if chunk_overlap is None else chunk_overlap
-        work = df.where(F.col("status").isin("new", "changed", "forced")).select("file_path", F.col("clean").alias("text"), "metadata", "tags")
-        if skip_chunking:
-            chunks = self._whole(work, size)
-        else:
-            chunks = C.chunk(work, strategy or self.strategy, size, overlap, tokenizer=self.tokenizer, vectorizer=self.vectorizer, **self._expand)
-        chunks = self._staged(self._finished(chunks, vectorize_with_metadata), "chunks")
-        blank = F.regexp_replace("vector_text", "(?U)\\s+", "") == ""
-        counts = chunks.groupBy("file_path").agg(F.count_if(~blank).alias("added"), F.count_if(blank).alias("ignored"))
-        done = df.join(counts, "file_path", "left").withColumns({"added": F.coalesce("added", F.lit(0)), "ignored": F.coalesce("ignored", F.lit(0))})
-        done = self._staged(done.withColumn("status", F.when(F.col("status").isin("new", "changed", "forced") & (F.col("added") == 0), "ignored").otherwise(F.col("status"))).drop("text", "clean"), "status")
-        self._write(done, chunks.where(~blank))
-        return done.select("file_path", "status", F.col("added").alias("num_chunks_added"), F.col("ignored").alias("num_chunks_ignored"))
-
-    def _whole(self, work: DataFrame, size: int) -> DataFrame:
-        """Each text as one chunk; the first size tokens of it are embedded."""
-        config = self.tokenizer
-
-        def run(batches):
-            tok = C.get_tokenizer(config)
-            for batch in batches:
-                texts = batch.column("text").to_pylist()
-                heads = [tok.decode(tok.encode(t)[:size]) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column("file_path"), batch.column("metadata"), batch.column("tags"), pa.array([0] * len(texts), pa.int32()), pa.array(heads, pa.string()), batch.column("text")], names=["file_path", "metadata", "tags", "chunk_seq", "vector_text", "storage_text"])
-
-        return work.mapInArrow(run, "file_path string, metadata string, tags array<string>, chunk_seq int, vector_text string, storage_text string")
-
-    def _finished(self, chunks: DataFrame, with_metadata: bool) -> DataFrame:
-        """With the processor applied, and embed_text: the vector text after the metadata's prefix."""
-        processor, columns = self._processor, ["file_path", "tags", "chunk_seq", "metadata", "vector_text", "storage_text"]
+        # a new text that is blank is kept as blank chunks
+        todo = judged.where(F.col("status").isin("new", "changed", "forced") | ((F.col("status") == "empty") & F.col("doc_id").isNull()))
+        work = given.join(todo.select("file_path"), "file_path", "left_semi") if filled else given.where(F.col("text").isNotNull())
+        chunks = self._staged(self._chunked(work.select("file_path", F.col(clean).alias("text"), "metadata", "tags"), strategy or self.strategy, size, overlap, skip_chunking, vectorize_with_metadata), "chunks")
+        counts = chunks.groupBy("file_path").agg(F.count_if(~F.col("blank")).alias("added"), F.count_if("blank").alias("ignored"), F.collect_list(F.when(F.col("blank"), F.col("chunk_seq"))).alias("blanks"))
+        done = judged.join(counts, "file_path", "left").withColumns({"added": F.coalesce("added", F.lit(0)), "ignored": F.when(F.col("status") == "empty", 0).otherwise(F.coalesce("ignored", F.lit(0)))})
+        done = self._staged(done.withColumn("status", F.when(F.col("status").isin("new", "changed", "forced") & (F.col("added") == 0), "ignored").otherwise(F.col("status"))), "status")
+        self._write(done, chunks)
+        return done.select("file_path", "status", F.col("added").alias("num_chunks_added"), F.col("ignored").alias("num_chunks_ignored"), "change")
+
+    def _late(self) -> bool:
+        """Chunks can be embedded only when all are there."""
+        return isinstance(self.vectorizer, TfIdfVectorizer) and self.vectorizer.idf is None
+
+    def _chunked(self, work: DataFrame, strategy: str, size: int, overlap: int, whole: bool, with_metadata: bool) -> DataFrame:
+        """(file_path, tags, chunk_seq, blank, storage_text, embedding) of each chunk; embed_text, the vector text after the metadata's
+        prefix, if it is embedded later.  whole: each text is one chunk, of which the first size tokens are embedded."""
+        if not whole:
+            if strategy not in C.STRATEGIES:
+                raise ValueError(f"unknown chunking strategy: {strategy!r}")
+            if strategy in ("character", "token") and overlap >= size:
+                raise ValueError("the overlap must be smaller than the chunk size")
+        C.get_tokenizer(self.tokenizer)
+        processor, config, expand, late = self._processor, self.tokenizer, self._expand, self._late()
+        shared = self.spark.sparkContext.broadcast(self.vectorizer)
+        fields = [("file_path", pa.string()), ("tags", pa.list_(pa.string())), ("chunk_seq", pa.int32()), ("blank", pa.bool_()), ("storage_text", pa.string()), ("embed_text", pa.string())]
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)]
+            if not late:
+                vectors = np.asarray(shared.value.vectorize([r[-1] for r in rows]), np.float32)
+                columns[-1] = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * vectors.shape[1], pa.int32()), pa.array(vectors.ravel(), pa.float32()))
+            return pa.RecordBatch.from_arrays(columns, names=[*(n for n, _ in fields[:-1]), "embed_text" if late else "embedding"])
 
         def run(batches):
+            tok, rows = C.get_tokenizer(config), []
             for batch in batches:
-                rows = batch.select(columns).to_pylist()
-                for r in rows:
-                    meta = json.loads(r["metadata"]) if r["metadata"] else {}
-                    if processor is not None:
-                        r["vector_text"], r["storage_text"] = processor(r["vector_text"], meta), processor(r["storage_text"], meta)
-                    r["embed_text"] = (metadata_prefix(meta) if with_metadata else "") + r["vector_text"]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file_path", pa.string()), ("tags", pa.list_(pa.string())), ("chunk_seq", pa.int32()), ("metadata", pa.string()), ("vector_text", pa.string()), ("storage_text", pa.string()), ("embed_text", pa.string())]))
-
-        return chunks.select(*columns).mapInArrow(run, "file_path string, tags array<string>, chunk_seq int, metadata string, vector_text string, storage_text string, embed_text string")
+                for path, text, metadata, tags in zip(*(batch.column(c).to_pylist() for c in ("file_path", "text", "metadata", "tags")), strict=True):
+                    meta = json.loads(metadata) if metadata else {}
+                    prefix = metadata_prefix(meta) if with_metadata else ""
+                    text = text or ""
+                    found = [(tok.decode(tok.encode(text)[:size]), text)] if whole else C.generate_chunks(text, strategy, size, overlap, tokenizer=tok, vectorizer_fn=shared.value.vectorize, **expand)
+                    for k, (vector, stored) in enumerate(found):
+                        if processor is not None:
+                            vector, stored = processor(vector, meta), processor(stored, meta)
+                        rows.append((path, tags, k, not vector.strip(BLANK), stored, prefix + vector))
+                        if len(rows) == AT_ONCE:
+                            yield made(rows)
+                            rows = []
+            if rows:
+                yield made(rows)
+
+        last = "embed_text string" if late else "embedding array<float>"
+        return work.mapInArrow(run, f"file_path string, tags array<string>, chunk_seq int, blank boolean, storage_text string, {last}")
 
     def _write(self, done: DataFrame, chunks: DataFrame) -> None:
         sealed = lambda c: security.encrypt(c, self._key) if self._key else F.encode(c, "UTF-8")
@@ -276,7 +304,8 @@ class Store:
         documents = self.table("documents")
         fresh = done.where(F.col("doc_id").isNull() & (wrote | (F.col("status") == "empty")))
         fresh = self._numbered(fresh.drop("doc_id"), ["file_path"], self.next_id("documents", "doc_id"), "doc_id")
-        ids = self._staged(fresh.select("doc_id", "file_path", "file_hash", "metadata", "status").unionByName(done.where(F.col("doc_id").isNotNull() & wrote).select("doc_id", "file_path", "file_hash", "metadata", "status")), "ids")
+        columns = ["doc_id", "file_path", "file_hash", "metadata", "status", "added", "blanks"]
+        ids = self._staged(fresh.select(*columns).unionByName(done.where(F.col("doc_id").isNotNull() & wrote).select(*columns)), "ids")
         row = ids.select(
             "doc_id", "file_path", "file_hash", F.when(F.col("status") != "empty", sealed(F.col("metadata"))).alias("metadata"),
             F.lit(self._key is not None).alias("is_encrypted"), F.current_timestamp().alias("added_timestamp"),
@@ -286,20 +315,28 @@ class Store:
         kept = old.where(F.col("_p").isNull()).drop("_p")
         row = row.join(stamp, "doc_id", "left").withColumn("added_timestamp", F.coalesce("_t", "added_timestamp")).drop("_t")
         gone = ids.select("doc_id")
-        if isinstance(self.vectorizer, TfIdfVectorizer) and self.vectorizer.idf is None:
-            self.properties["idf"] = self.vectorizer.fit(chunks, "embed_text").idf
-        numbered = self._numbered(chunks.join(ids.select("file_path", "doc_id"), "file_path"), ["doc_id", "chunk_seq"], self.next_id("chunks", "chunk_id"), "chunk_id")
-        numbered = self._staged(numbered, "numbered")
-        new_chunks = numbered.select(
+        full, late = ~F.col("blank"), self._late()
+        if late:
+            self.properties["idf"] = self.vectorizer.fit(chunks.where(full), "embed_text").idf
+        firsts = self._numbered(ids.select("file_path", "doc_id", "added", "blanks"), ["doc_id"], self.next_id("chunks", "chunk_id"), "first_chunk", "added")
+        firsts = self._staged(firsts.drop("added"), "firsts")
+        at = F.col("first_chunk") + F.col("chunk_seq") - F.expr("coalesce(size(filter(blanks, x -> x < chunk_seq)), 0)")
+        numbered = chunks.join(firsts, "file_path").withColumn("chunk_id", F.when(full, at))
+        new_chunks = numbered.where(full).select(
             "chunk_id", "doc_id", sealed(F.col("storage_text")).alias("chunk_text"), F.lit(0).alias("start_pos"), F.lit(0).alias("end_pos"), "chunk_seq", F.array_sort(F.array_distinct("tags")).alias("tags"),
             F.lit(self._key is not None).alias("is_encrypted"), F.lit(None).cast("timestamp").alias("graph_processed_at"),
         )
-        new_vectors = embed(numbered.select("chunk_id", "embed_text"), self.vectorizer, "embed_text").select("chunk_id", "embedding")
+        new_vectors = numbered.where(full)
+        new_vectors = (embed(new_vectors.select("chunk_id", "embed_text"), self.vectorizer, "embed_text") if late else new_vectors).select("chunk_id", "embedding")
+        blanks = {} if chunks.where("blank").isEmpty() else {"blanks": numbered.where("blank").select("doc_id", "chunk_seq", sealed(F.col("storage_text")).alias("chunk_text"), F.lit(self._key is not None).alias("is_encrypted"))}
         stale = self.table("chunks").join(gone, "doc_id", "left_semi").select("chunk_id")
         if stale.isEmpty() and stamp.isEmpty():
-            self.change(append={"documents": row, "chunks": new_chunks, "vectors": new_vectors})
+            self.change(append={"documents": row, "chunks": new_chunks, "vectors": new_vectors} | blanks)
             return
-        self.change(replace={
+        if blanks or self._pinned["tables"].get("blanks"):
+            kept_blanks = self.table("blanks").join(gone, "doc_id", "left_anti")
+            blanks = {"blanks": kept_blanks.unionByName(blanks["blanks"]) if blanks else kept_blanks}
+        self.change(replace=blanks | {
             "documents": kept.unionByName(row), "chunks": self.table("chunks").join(gone, "doc_id", "left_anti").unionByName(new_chunks),
             "vectors": self.table("vectors").join(stale, "chunk_id", "left_anti").unionByName(new_vectors), "links": self.table("links").join(stale, "chunk_id", "left_anti"),
         })
@@ -371,9 +408,12 @@ class Store:
         return None if r is None else {"chunk_id": r["chunk_id"], "chunk_text": r["chunk_text"], "file_path": r["file_path"], "document_metadata": self._metadata(r["metadata"])}
 
     def reconstruct(self, which: F.Column | None = None) -> DataFrame:
-        """(file_path, text): each document's chunks joined by line ends, '' without chunks; of all documents or some."""
+        """(file_path, text): each document's chunks, blank ones too, joined by line ends, '' without chunks; of all documents or some."""
         documents = self.table("documents") if which is None else self.table("documents").where(which)
-        chunks = self.table("chunks") if which is None else self.table("chunks").join(documents, "doc_id", "left_semi")
+        chunks = self.table("chunks").select(*(columns := ["doc_id", "chunk_seq", "chunk_text", "is_encrypted"]))
+        if (self._pinned or self._manifest())["tables"].get("blanks"):
+            chunks = chunks.unionByName(self.table("blanks").select(*columns))
+        chunks = chunks if which is None else chunks.join(documents, "doc_id", "left_semi")
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_seq", "chunk_text"))), lambda x: x["chunk_text"]), "\n")
         joined = chunks.withColumn("chunk_text", self._open("chunk_text")).groupBy("doc_id").agg(text.alias("text"))
         return documents.select("doc_id", "file_path").join(joined, "doc_id", "left").select("file_path", F.coalesce("text", F.lit("")).alias("text"))
@@ -394,7 +434,7 @@ class Store:
         if docs.isEmpty():
             return
         gone = self.table("chunks").join(docs, "doc_id", "left_semi").select("chunk_id")
-        self.change(replace={name: self.table(name).join(docs, "doc_id", "left_anti") for name in ("documents", "chunks", "pages")} | {name: self.table(name).join(gone, "chunk_id", "left_anti") for name in ("vectors", "links")})
+        self.change(replace={name: self.table(name).join(docs, "doc_id", "left_anti") for name in ("documents", "chunks", "blanks", "pages")} | {name: self.table(name).join(gone, "chunk_id", "left_anti") for name in ("vectors", "links")})
 
     def get_vectorization_details(self) -> dict | None:
         return self.properties.get("vectorizer_info")
